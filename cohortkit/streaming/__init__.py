@@ -1,0 +1,7 @@
+"""Streaming: nothing here yet.
+
+The job being rebuilt is a batch run per day tag over day-partitioned tables:
+it has no stream, watermark, state or late data.  Its day-range parameters are
+ordinary filters on the ``yyyymmdd`` partition column (partition pruning), so
+running it per day is a batch concern, not a streaming one.
+"""
