@@ -37,6 +37,12 @@ from pyspark.sql import functions as F
 _INF = float("inf")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    from ..session import materialize as _m
+
+    return _m(df, label)
+
+
 def value_counts(df: DataFrame, col: str | Column) -> DataFrame:
     """Distinct non-null values (as double ``v``) with their multiplicity ``c``."""
     v = (F.col(col) if isinstance(col, str) else col).cast("double")
@@ -48,22 +54,32 @@ def _with_bucket(vals: DataFrame, buckets: int, accuracy: int) -> DataFrame:
     ranks = [i / buckets for i in range(1, buckets)]
     bounds = vals.agg(F.percentile_approx("v", ranks, accuracy)).scalar()
     m = len(ranks)
-    step = 1
-    while step * 2 <= m:
-        step *= 2
-    x = vals.withColumn("b", F.lit(0))
-    while step >= 1:  # lower bound: number of boundaries strictly below v
-        nxt = F.col("b") + F.lit(step)
-        x = x.withColumn("b", F.when((nxt <= m) & (F.element_at(bounds, nxt) < F.col("v")), nxt)
-                         .otherwise(F.col("b")))
-        step //= 2
-    return x
-
-
-def quantile_from_counts(vals: DataFrame, q: float, buckets: int = 1024, accuracy: int = 100000) -> DataFrame:
-    """Nearest-rank ``q`` quantile of a ``(v, c)`` value-count frame; one row ``value``."""
+    levels = max(1, (m).bit_length())
+    # lower bound by binary search, folded over the halving step sizes: the number
+    # of boundaries strictly below v, a monotone function of v
+    steps = F.array(*[F.lit(1 << j) for j in reversed(range(levels))])
+
+    def step(acc, st):
+        nxt = acc + st
+        return F.when((nxt <= F.lit(m)) & (F.element_at(F.col("_bounds"), nxt) < F.col("v")), nxt).otherwise(acc)
+
+    # the boundary array enters as a column: subqueries are not allowed inside lambdas
+    return (vals.withColumn("_bounds", bounds)
+            .withColumn("b", F.aggregate(steps, F.lit(0), step)).drop("_bounds"))
+
+
+def quantile_from_counts(vals: DataFrame, q: float, buckets: int = 256, accuracy: int = 100000,
+                         materialize: bool = False) -> DataFrame:
+    """Nearest-rank ``q`` quantile of a ``(v, c)`` value-count frame; one row ``value``.
+
+    ``materialize`` stores the value counts (parquet in the session's
+    checkpoint folder) so the several references below scan a small stored
+    table instead of re-planning and re-running the whole upstream plan.
+    """
     if not 0.0 <= q <= 1.0:
         raise ValueError(f"quantile must be in [0, 1], got {q}")
+    if materialize:
+        vals = stored(vals, "value-counts")
     n = vals.agg(F.sum("c")).scalar()
     k = F.floor((n - F.lit(1)).cast("double") * F.lit(float(q)) + F.lit(0.5))
     x = _with_bucket(vals, buckets, accuracy)
@@ -83,9 +99,16 @@ def quantile_nearest(df: DataFrame, col: str | Column, q: float, **kw) -> DataFr
     return quantile_from_counts(value_counts(df, col), q, **kw)
 
 
-def quantile_col(df: DataFrame, col: str | Column, q: float, **kw) -> Column:
-    """The quantile as a scalar-subquery column (null when there is no value)."""
-    return quantile_nearest(df, col, q, **kw).scalar()
+def quantile_col(df: DataFrame, col: str | Column, q: float, materialize: bool = False, **kw) -> Column:
+    """The quantile as a scalar-subquery column (null when there is no value).
+
+    With ``materialize`` the one-row result is stored first, so plans that
+    use the threshold embed a scan of one stored row, not the quantile's plan.
+    """
+    res = quantile_nearest(df, col, q, materialize=materialize, **kw)
+    if materialize:
+        res = stored(res, "quantile")
+    return res.scalar()
 
 
 # ---- threshold helpers ---------------------------------------------------

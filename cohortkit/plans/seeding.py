@@ -8,18 +8,18 @@ functions' own flagged frames.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
+from ..session import materialize
 from ..operators import (audit_part, audit_union, exclude, fixed4, flag_matrix, joined_flags, keep, kv,
                          latest_per_key, overlap_counts, top_k_per_group)
 from .cohort import Cohort, eligible_cohort
 from .feedback import fb_live, fb_rating, feedback_ids
-from .signals import KEY, SignalSet, all_signals
+from .signals import KEY, SIGNAL_COLUMNS, SignalSet, all_signals
 
 SIGNAL_ORDER = ("review", "calls", "ocara", "ticket", "inappchat")
 
@@ -79,20 +79,70 @@ def audit_top(audit: DataFrame, k: int) -> DataFrame:
     return top_k_per_group(audit, ["signal"], [F.col(KEY), F.col("logic"), F.col("evidence")], k)
 
 
-@dataclass(frozen=True)
 class SeedingRun:
-    cfg: RunConfig
-    cohort: Cohort
-    signals: SignalSet
-    risky: DataFrame  # risk master
-    seed: DataFrame  # cohort minus risky
-    live: DataFrame
-    rating: DataFrame
-    feedback: DataFrame  # live or rating exclusions
-    nminus1: DataFrame  # seed minus feedback exclusions
-    meta: DataFrame
-    final: DataFrame
-    audit: DataFrame
+    """One run of the job; every stage is a lazy DataFrame built on first use.
+
+    Only the per-captain facts and the quantiles' value counts are
+    materialised (parquet in the checkpoint folder); row-grain frames stay lazy.
+    """
+
+    def __init__(self, wide: DataFrame, cfg: RunConfig, materialize: bool = True):
+        self.wide, self.cfg, self.materialize = wide, cfg, materialize
+
+    @cached_property
+    def cohort(self) -> Cohort:
+        return eligible_cohort(self.wide, self.cfg)
+
+    @cached_property
+    def signal_orders(self) -> DataFrame:
+        """The cohort's orders, projected to the signal columns; stored once when materialising.
+
+        Every signal pass (call-count quantile, per-captain facts, cancel sums)
+        then scans this stage table instead of re-running the scope filters,
+        the cohort aggregate and the semi join.
+        """
+        o = self.cohort.orders.select(*SIGNAL_COLUMNS)
+        return materialize(o, "cohort-orders") if self.materialize else o
+
+    @cached_property
+    def signals(self) -> SignalSet:
+        return all_signals(self.signal_orders, self.cfg, self.materialize)
+
+    @cached_property
+    def risky(self) -> DataFrame:
+        return risk_master(self.signals)
+
+    @cached_property
+    def seed(self) -> DataFrame:
+        return exclude(self.cohort.ids, self.risky, KEY)
+
+    @cached_property
+    def live(self) -> DataFrame:
+        return fb_live(self.cohort.scoped, self.cfg)
+
+    @cached_property
+    def rating(self) -> DataFrame:
+        return fb_rating(self.cohort.scoped, self.cfg)
+
+    @cached_property
+    def feedback(self) -> DataFrame:
+        return feedback_ids(self.live, self.rating)
+
+    @cached_property
+    def nminus1(self) -> DataFrame:
+        return exclude(self.seed, self.feedback, KEY)
+
+    @cached_property
+    def meta(self) -> DataFrame:
+        return captain_meta(self.cohort.scoped, self.nminus1)
+
+    @cached_property
+    def final(self) -> DataFrame:
+        return final_list(self.nminus1, self.meta, self.cfg)
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        return audit_log(self.signals, self.live, self.rating, self.nminus1, self.meta, self.cfg)
 
     def overlap(self) -> DataFrame:
         """Feedback removals already covered by the five signals vs incremental ones."""
@@ -111,19 +161,8 @@ class SeedingRun:
         return funnel_metrics(self)
 
 
-def run_seeding(wide: DataFrame, cfg: RunConfig) -> SeedingRun:
-    cohort = eligible_cohort(wide, cfg)
-    s = all_signals(cohort.orders, cfg)
-    risky = risk_master(s)
-    seed = exclude(cohort.ids, risky, KEY)
-    live, rating = fb_live(cohort.scoped, cfg), fb_rating(cohort.scoped, cfg)
-    fb = feedback_ids(live, rating)
-    nminus1 = exclude(seed, fb, KEY)
-    meta = captain_meta(cohort.scoped, nminus1)
-    final = final_list(nminus1, meta, cfg)
-    audit = audit_log(s, live, rating, nminus1, meta, cfg)
-    return SeedingRun(cfg=cfg, cohort=cohort, signals=s, risky=risky, seed=seed, live=live, rating=rating,
-                      feedback=fb, nminus1=nminus1, meta=meta, final=final, audit=audit)
+def run_seeding(wide: DataFrame, cfg: RunConfig, materialize: bool = True) -> SeedingRun:
+    return SeedingRun(wide, cfg, materialize)
 
 
 # ---- funnel metrics --------------------------------------------------------

@@ -16,11 +16,13 @@ Each signal returns ``(metrics, flagged)``; the audit log is built from the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
+from ..session import materialize
 from ..operators import (breach, cap_at, floor_at, lower_tail, max_then_sum, pivot_segments, quantile_col,
                          upper_tail, vote_count)
 from .cohort import FEMALE, MALE, SEG, SEGMENTS
@@ -30,6 +32,11 @@ CALLS = "total_calls_doneby_captain"
 CHAT = "chat_agent_response_issue_type"
 TICKET = "support_ticket_agent_response_issue_type"
 REVIEW = "post_ride_review_agent_response_issue_type"
+SIGNAL_COLUMNS = ("captain_id", "order_id", "order_date", "customer_gender", "gender",
+                  "total_calls_doneby_captain", "chat_agent_response_issue_type",
+                  "support_ticket_agent_response_issue_type", "post_ride_review_agent_response_issue_type",
+                  "female_ocara_count_captainlevel", "male_ocara_count_captainlevel",
+                  "female_cc_count_captainlevel", "male_cc_count_captainlevel")
 OCARA_COLS = {
     "cancels_f": "female_ocara_count_captainlevel",
     "cancels_m": "male_ocara_count_captainlevel",
@@ -47,10 +54,10 @@ def calls_cap(orders: DataFrame, cfg: RunConfig) -> Column:
     return F.coalesce(quantile_col(orders, CALLS, cfg.q_calls_cap), F.lit(0.0))
 
 
-def gender_facts(orders: DataFrame, cfg: RunConfig) -> DataFrame:
+def gender_facts(orders: DataFrame, cfg: RunConfig, cap: Column | None = None) -> DataFrame:
     """Long ``(captain_id, gender)`` facts shared by signals 1-5."""
     calls = F.col(CALLS).cast("double")
-    capped = cap_at(calls, calls_cap(orders, cfg))
+    capped = cap_at(calls, calls_cap(orders, cfg) if cap is None else cap)
     called = F.when(calls.isNull(), F.lit(0)).otherwise(F.lit(1))
     chat, ticket, review = F.col(CHAT), F.col(TICKET), F.col(REVIEW)
     rev_ok = review.isin(list(cfg.review_labels))
@@ -75,10 +82,10 @@ FACT_VALUES = ("rides", "rude_rows", "ticket_rows", "l0_rows", "l1_rows", "l2_ro
                "call_rate", "avg_calls", "std_calls")
 
 
-def captain_facts(orders: DataFrame, cfg: RunConfig) -> DataFrame:
+def captain_facts(orders: DataFrame, cfg: RunConfig, cap: Column | None = None) -> DataFrame:
     """One row per cohort captain: every fact as ``<fact>_Female`` / ``<fact>_Male``."""
     values = list(FACT_VALUES) + [tier_col(t) for t in cfg.ticket_tiers_remove]
-    return pivot_segments(gender_facts(orders, cfg), KEY, SEG, SEGMENTS, values)
+    return pivot_segments(gender_facts(orders, cfg, cap), KEY, SEG, SEGMENTS, values)
 
 
 def _both(c: str) -> Column:
@@ -180,11 +187,18 @@ def sig_calls(facts: DataFrame, cfg: RunConfig) -> Signal:
 
 # ---- Signal 5: cancellations ------------------------------------------------
 
-def cancel_metrics(orders: DataFrame, facts: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Accepted = rides + captain cancels + customer cancels per gender; rates and F-M diff."""
-    counts = max_then_sum(orders, KEY, "order_date", OCARA_COLS, fill=0)
-    rides = facts.select(KEY, F.col(f"rides_{FEMALE}").alias("rides_f"), F.col(f"rides_{MALE}").alias("rides_m"))
-    q = (rides.join(counts, KEY, "left").fillna(0, subset=list(OCARA_COLS))
+def cancel_sums(orders: DataFrame) -> DataFrame:
+    """Per captain: captain-day cancel counts (repeated on each ride row) de-repeated by max, then summed."""
+    return max_then_sum(orders, KEY, "order_date", OCARA_COLS, fill=0)
+
+
+def cancel_metrics(facts: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Accepted = rides + captain cancels + customer cancels per gender; rates and F-M diff.
+
+    ``facts`` carries the ``cancel_sums`` columns (see ``SignalSet.facts``).
+    """
+    q = (facts.select(KEY, F.col(f"rides_{FEMALE}").alias("rides_f"), F.col(f"rides_{MALE}").alias("rides_m"),
+                      *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in OCARA_COLS])
          .withColumn("accepted_f", F.col("rides_f") + F.col("cancels_f") + F.col("cc_f"))
          .withColumn("accepted_m", F.col("rides_m") + F.col("cancels_m") + F.col("cc_m"))
          .where((F.col("accepted_f") >= cfg.min_rides_per_gender)
@@ -194,8 +208,8 @@ def cancel_metrics(orders: DataFrame, facts: DataFrame, cfg: RunConfig) -> DataF
             .withColumn("diff", F.col("rate_f") - F.col("rate_m")))
 
 
-def sig_cancel(orders: DataFrame, facts: DataFrame, cfg: RunConfig) -> Signal:
-    m = cancel_metrics(orders, facts, cfg)
+def sig_cancel(facts: DataFrame, cfg: RunConfig) -> Signal:
+    m = cancel_metrics(facts, cfg)
     p98 = F.coalesce(quantile_col(m, "diff", cfg.q_cancel_hi), F.lit(cfg.cancel_hi_default))
     p02 = F.coalesce(quantile_col(m, "diff", cfg.q_cancel_lo), F.lit(cfg.cancel_lo_default))
     upper, lower = upper_tail(p98), lower_tail(p02)
@@ -207,14 +221,46 @@ def sig_cancel(orders: DataFrame, facts: DataFrame, cfg: RunConfig) -> Signal:
                               "lower_used": lower})
 
 
-@dataclass(frozen=True)
 class SignalSet:
-    facts: DataFrame
-    chat: Signal
-    ticket: Signal
-    review: Signal
-    calls: Signal
-    cancel: Signal
+    """The five signals over one per-captain facts table, each built on first use.
+
+    With ``materialize`` the facts table (one row per cohort captain) is
+    stored as parquet in the session's checkpoint folder: every signal, threshold
+    and audit part reads the stored table, so the row-grain work runs once and
+    the later plans stay small.
+    """
+
+    def __init__(self, orders: DataFrame, cfg: RunConfig, materialize: bool = True):
+        self.orders, self.cfg, self.materialize = orders, cfg, materialize
+
+    @cached_property
+    def calls_cap(self) -> Column:
+        return calls_cap(self.orders, self.cfg)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        f = captain_facts(self.orders, self.cfg, self.calls_cap).join(cancel_sums(self.orders), KEY, "left")
+        return materialize(f, "captain-facts") if self.materialize else f
+
+    @cached_property
+    def chat(self) -> Signal:
+        return sig_chat(self.facts, self.cfg)
+
+    @cached_property
+    def ticket(self) -> Signal:
+        return sig_ticket(self.facts, self.cfg)
+
+    @cached_property
+    def review(self) -> Signal:
+        return sig_review(self.facts, self.cfg)
+
+    @cached_property
+    def calls(self) -> Signal:
+        return sig_calls(self.facts, self.cfg)
+
+    @cached_property
+    def cancel(self) -> Signal:
+        return sig_cancel(self.facts, self.cfg)
 
     def ids(self) -> dict[str, DataFrame]:
         """Flagged captain ids per signal, in the risk-master column order."""
@@ -227,8 +273,5 @@ class SignalSet:
         }
 
 
-def all_signals(orders: DataFrame, cfg: RunConfig) -> SignalSet:
-    facts = captain_facts(orders, cfg)
-    return SignalSet(facts=facts, chat=sig_chat(facts, cfg), ticket=sig_ticket(facts, cfg),
-                     review=sig_review(facts, cfg), calls=sig_calls(facts, cfg),
-                     cancel=sig_cancel(orders, facts, cfg))
+def all_signals(orders: DataFrame, cfg: RunConfig, materialize: bool = True) -> SignalSet:
+    return SignalSet(orders, cfg, materialize)

@@ -50,3 +50,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(cur)
     return cur
+
+
+def materialize(df, label: str = "stage"):
+    """Write ``df`` as parquet under the session's checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but in one job (an eager RDD
+    checkpoint computes its plan twice) and the stored files carry real size
+    statistics for AQE's join choices.  The folder is the shared one named by
+    ``spark.checkpoint.dir`` on a cluster; a fresh sub-folder per call.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/cohortkit/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
