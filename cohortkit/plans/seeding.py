@@ -108,9 +108,13 @@ class SeedingRun:
     def signals(self) -> SignalSet:
         return all_signals(self.signal_orders, self.cfg, self.materialize)
 
+    def _keep(self, df: DataFrame, label: str) -> DataFrame:
+        """Store a small per-captain result that several outputs read (when materialising)."""
+        return materialize(df, label) if self.materialize else df
+
     @cached_property
     def risky(self) -> DataFrame:
-        return risk_master(self.signals)
+        return self._keep(risk_master(self.signals), "risk-master")
 
     @cached_property
     def seed(self) -> DataFrame:
@@ -118,11 +122,11 @@ class SeedingRun:
 
     @cached_property
     def live(self) -> DataFrame:
-        return fb_live(self.cohort.scoped, self.cfg)
+        return self._keep(fb_live(self.cohort.scoped, self.cfg), "live-feedback")
 
     @cached_property
     def rating(self) -> DataFrame:
-        return fb_rating(self.cohort.scoped, self.cfg)
+        return self._keep(fb_rating(self.cohort.scoped, self.cfg), "rating-screen")
 
     @cached_property
     def feedback(self) -> DataFrame:

@@ -88,10 +88,20 @@ def _rating_answer() -> Column:
             .otherwise("Yes"))
 
 
-def source_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def stored_rides(t: dict[str, DataFrame], store: bool) -> DataFrame:
+    """``f_rides`` written once to the checkpoint folder (several views derive from it)."""
+    fr = f_rides(t)
+    if not store:
+        return fr
+    from ..session import materialize
+
+    return materialize(fr, "f-rides")
+
+
+def source_views(spark: SparkSession, sf_dir: str, store: bool = True) -> dict[str, DataFrame]:
     """The eleven source tables t1..t11 (schemas of FIXTURES.md section 1)."""
     t = read_tables(spark, sf_dir)
-    fr = f_rides(t)
+    fr = stored_rides(t, store)
     v: dict[str, DataFrame] = {}
     v["t1"] = fr.select(
         F.col("oid").alias("order_id"),
@@ -199,7 +209,7 @@ def source_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return v
 
 
-def wide_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide_view(spark: SparkSession, sf_dir: str, store: bool = False) -> DataFrame:
     """``w1``: order-grain wide table straight from lineitem x orders.
 
     Same 33 columns (+ ``mobile``) as the base-table build, but every supplier
@@ -208,7 +218,7 @@ def wide_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines (``O`` = captain cancelled, ``F`` = customer cancelled).
     """
     t = read_tables(spark, sf_dir)
-    fr = f_rides(t).withColumn("g", (F.col("o_custkey") % 2).cast("int"))
+    fr = stored_rides(t, store).withColumn("g", (F.col("o_custkey") % 2).cast("int"))
     fem = F.col("g") == 1
     cancelled = fr.filter(F.col("l_returnflag") == "N")
     cancels = cancelled.groupBy(F.col("cap").alias("c_cap"), F.col("day").alias("c_day")).agg(
