@@ -114,7 +114,7 @@ class SeedingRun:
 
     @cached_property
     def risky(self) -> DataFrame:
-        return self._keep(risk_master(self.signals), "risk-master")
+        return risk_master(self.signals)
 
     @cached_property
     def seed(self) -> DataFrame:
@@ -171,57 +171,53 @@ def run_seeding(wide: DataFrame, cfg: RunConfig, materialize: bool = True) -> Se
 
 # ---- funnel metrics --------------------------------------------------------
 
-def _n(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1)).cast("double")).scalar()
-
-
-def _nd(df: DataFrame, col: str) -> Column:
-    return df.agg(F.count_distinct(col).cast("double")).scalar()
+def _stage(df: DataFrame, stage: str, metrics: dict[str, Column]) -> DataFrame:
+    """One aggregate over a stage's frame, unpivoted to ``(stage, metric, value)`` rows."""
+    one = df.agg(*[c.cast("double").alias(n) for n, c in metrics.items()])
+    return (one.unpivot([], list(metrics), "metric", "value")
+            .select(F.lit(stage).alias("stage"), "metric", "value"))
 
 
 def funnel_metrics(r: SeedingRun) -> DataFrame:
     """``(stage, metric, value)`` rows for every stage of the run (one lazy frame).
 
-    Each value is a scalar subquery over the stage's own frame; the row set is
-    built from a one-row aggregate of the cohort so the frame depends on data.
+    One aggregate per stage frame (not one job per number); thresholds come
+    from the signals' scalar subqueries.
     """
     s = r.signals
-    rows: list[tuple[str, str, Column]] = [
-        ("cohort", "source_rows", _n(r.cohort.scoped)),
-        ("cohort", "base_6m_dropped", _n(r.cohort.base)),
-        ("cohort", "cohort_captains", _n(r.cohort.ids)),
-        ("cohort", "cohort_orders", _n(r.cohort.orders)),
-        ("inappchat", "captains_flagged", _n(s.chat.flagged)),
-        ("inappchat", "female_incidents", s.chat.flagged.agg(F.sum("female_incidents").cast("double")).scalar()),
-        ("inappchat", "male_incidents",
-         s.chat.flagged.agg(F.sum(F.col("incidents") - F.col("female_incidents")).cast("double")).scalar()),
-        ("ticket", "tickets_total", s.ticket.metrics.agg(F.sum("ticket_rows").cast("double")).scalar()),
-        ("ticket", "p0_p1_captains", _nd(s.ticket.flagged, KEY)),
-        ("review", "l0_flagged", _n(s.review.flagged.where("flag_l0"))),
-        ("review", "l1_flagged", _n(s.review.flagged.where("flag_l1"))),
-        ("review", "l2_flagged", _n(s.review.flagged.where("flag_l2"))),
-        ("review", "p95_l2_threshold", s.review.thresholds["p95_l2_threshold"]),
-        ("review", "total_review_risky", _n(s.review.flagged)),
-        ("calls", "qualifying_captains", _n(s.calls.metrics)),
-        ("calls", "risky_captains", _n(s.calls.flagged)),
-        *[("calls", k, v) for k, v in s.calls.thresholds.items()],
-        ("ocara", "qualifying_captains", _n(s.cancel.metrics)),
-        ("ocara", "risky_captains", _n(s.cancel.flagged)),
-        *[("ocara", k, v) for k, v in s.cancel.thresholds.items()],
-        ("risky", "total_unique_risky", _n(r.risky)),
-        *[("risky", name, _n(r.risky.where(F.col(f"flag_{name}")))) for name in SIGNAL_ORDER],
-        ("seed", "safe_seed_captains", _n(r.seed)),
-        ("new_feedback", "live_feedback_excluded", _n(r.live.where("excluded"))),
-        ("new_feedback", "rating_screen_excluded", _n(r.rating.where("excluded"))),
-        ("new_feedback", "union", _n(r.feedback)),
-        ("final", "nminus1_after_new_feedback", _n(r.nminus1)),
-        ("final", "after_shift_filter", _n(r.final)),
-        ("audit", "rows", _n(r.audit)),
-        ("audit", "unique_captains", _nd(r.audit, KEY)),
+    _ROWS = F.count(F.lit(1))
+    one = r.cohort.ids.agg(_ROWS.alias("_n"))
+    parts = [
+        _stage(r.cohort.scoped, "cohort", {"source_rows": _ROWS}),
+        _stage(r.cohort.base, "cohort", {"base_6m_dropped": _ROWS}),
+        _stage(r.cohort.ids, "cohort", {"cohort_captains": _ROWS}),
+        _stage(r.cohort.orders, "cohort", {"cohort_orders": _ROWS}),
+        _stage(s.chat.flagged, "inappchat", {"captains_flagged": _ROWS, "female_incidents": F.sum("female_incidents"),
+                                             "male_incidents": F.sum(F.col("incidents") - F.col("female_incidents"))}),
+        _stage(s.ticket.metrics, "ticket", {"tickets_total": F.sum("ticket_rows")}),
+        _stage(s.ticket.flagged, "ticket", {"p0_p1_captains": F.count_distinct(KEY)}),
+        _stage(s.review.flagged, "review", {"l0_flagged": F.count_if("flag_l0"), "l1_flagged": F.count_if("flag_l1"),
+                                            "l2_flagged": F.count_if("flag_l2"), "total_review_risky": _ROWS}),
+        _stage(s.calls.metrics, "calls", {"qualifying_captains": _ROWS}),
+        _stage(s.calls.flagged, "calls", {"risky_captains": _ROWS}),
+        _stage(s.cancel.metrics, "ocara", {"qualifying_captains": _ROWS}),
+        _stage(s.cancel.flagged, "ocara", {"risky_captains": _ROWS}),
+        *[_stage(one, stage, {name: F.first(col)}) for stage, group in
+          (("review", s.review.thresholds), ("calls", s.calls.thresholds), ("ocara", s.cancel.thresholds))
+          for name, col in group.items()],
+        _stage(r.risky, "risky", {"total_unique_risky": _ROWS,
+                                  **{n: F.count_if(f"flag_{n}") for n in SIGNAL_ORDER}}),
+        _stage(one, "risky", {"risky_pct": F.first(F.coalesce(
+            F.try_divide(r.risky.agg(_ROWS).scalar(), F.col("_n")), F.lit(0.0)) * 100)}),
+        _stage(r.seed, "seed", {"safe_seed_captains": _ROWS}),
+        _stage(r.live, "new_feedback", {"live_feedback_excluded": F.count_if("excluded")}),
+        _stage(r.rating, "new_feedback", {"rating_screen_excluded": F.count_if("excluded")}),
+        _stage(r.feedback, "new_feedback", {"union": _ROWS}),
+        _stage(r.nminus1, "final", {"nminus1_after_new_feedback": _ROWS}),
+        _stage(r.final, "final", {"after_shift_filter": _ROWS}),
+        _stage(r.audit, "audit", {"rows": _ROWS, "unique_captains": F.count_distinct(KEY)}),
     ]
-    arr = F.array(*[F.struct(F.lit(st).alias("stage"), F.lit(mt).alias("metric"),
-                             v.cast("double").alias("value")) for st, mt, v in rows])
-    return (r.cohort.ids.agg(F.count(F.lit(1)).alias("_n")).select(F.inline(arr)))
+    return union_all(parts)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

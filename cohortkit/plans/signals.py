@@ -242,25 +242,31 @@ class SignalSet:
         f = captain_facts(self.orders, self.cfg, self.calls_cap).join(cancel_sums(self.orders), KEY, "left")
         return materialize(f, "captain-facts") if self.materialize else f
 
+    def _stored(self, sig: Signal, label: str) -> Signal:
+        """Store the flagged set (small, per captain): thresholds are evaluated once per run."""
+        if not self.materialize:
+            return sig
+        return Signal(metrics=sig.metrics, flagged=materialize(sig.flagged, label), thresholds=sig.thresholds)
+
     @cached_property
     def chat(self) -> Signal:
-        return sig_chat(self.facts, self.cfg)
+        return self._stored(sig_chat(self.facts, self.cfg), "flagged-chat")
 
     @cached_property
     def ticket(self) -> Signal:
-        return sig_ticket(self.facts, self.cfg)
+        return self._stored(sig_ticket(self.facts, self.cfg), "flagged-ticket")
 
     @cached_property
     def review(self) -> Signal:
-        return sig_review(self.facts, self.cfg)
+        return self._stored(sig_review(self.facts, self.cfg), "flagged-review")
 
     @cached_property
     def calls(self) -> Signal:
-        return sig_calls(self.facts, self.cfg)
+        return self._stored(sig_calls(self.facts, self.cfg), "flagged-calls")
 
     @cached_property
     def cancel(self) -> Signal:
-        return sig_cancel(self.facts, self.cfg)
+        return self._stored(sig_cancel(self.facts, self.cfg), "flagged-cancel")
 
     def ids(self) -> dict[str, DataFrame]:
         """Flagged captain ids per signal, in the risk-master column order."""

@@ -96,6 +96,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "final_list": lambda s, d: _run(s, d).final,
         "audit_log": lambda s, d: _run(s, d).audit,
         "audit_top5": lambda s, d: audit_top(_run(s, d).audit, CFG.top_k_audit),
+        "funnel_metrics": lambda s, d: _r6(_run(s, d).metrics(), ["value"]),
         # the scoring run fed by the base-table build instead of the direct view
         "base_cohort_stats": lambda s, d: _run(s, d, source="base").cohort.stats,
         "base_final_list": lambda s, d: _run(s, d, source="base").final,
@@ -108,6 +109,49 @@ def _cols(prefix: str, cols) -> str:
     return ", ".join(r6(c) + f" AS {c}" for c in cols)
 
 
+FUNNEL_NEEDS = ["sc", "base", "cohort", "bc", "sig_chat", "tickets", "sig_ticket", "sig_review", "p95",
+                "calls_metrics", "sig_calls", "cthr", "cancel_metrics", "sig_cancel", "othr", "risk_master", "seed",
+                "fb_live", "fb_rating", "feedback_ids", "nminus1", "final_list", "audit"]
+
+
+def funnel_sql(cfg: RunConfig) -> str:
+    n = lambda t, w="": f"(SELECT count(*) FROM {t} {w})"
+    rows = [
+        ("cohort", "source_rows", n("sc")), ("cohort", "base_6m_dropped", n("base")),
+        ("cohort", "cohort_captains", n("cohort")), ("cohort", "cohort_orders", n("bc")),
+        ("inappchat", "captains_flagged", n("sig_chat")),
+        ("inappchat", "female_incidents", "(SELECT sum(female_incidents) FROM sig_chat)"),
+        ("inappchat", "male_incidents", "(SELECT sum(incidents - female_incidents) FROM sig_chat)"),
+        ("ticket", "tickets_total", n("tickets")),
+        ("ticket", "p0_p1_captains", "(SELECT count(DISTINCT captain_id) FROM sig_ticket)"),
+        ("review", "l0_flagged", n("sig_review", "WHERE flag_l0")),
+        ("review", "l1_flagged", n("sig_review", "WHERE flag_l1")),
+        ("review", "l2_flagged", n("sig_review", "WHERE flag_l2")),
+        ("review", "p95_l2_threshold", "(SELECT v FROM p95)"),
+        ("review", "total_review_risky", n("sig_review")),
+        ("calls", "qualifying_captains", n("calls_metrics")), ("calls", "risky_captains", n("sig_calls")),
+        ("calls", "call_rate_threshold", "(SELECT t_rate FROM cthr)"),
+        ("calls", "calls_diff_threshold", "(SELECT t_vol FROM cthr)"),
+        ("calls", "cv_diff_threshold", "(SELECT t_cv FROM cthr)"),
+        ("ocara", "qualifying_captains", n("cancel_metrics")), ("ocara", "risky_captains", n("sig_cancel")),
+        ("ocara", "p98_threshold", "(SELECT p98 FROM othr)"), ("ocara", "p02_threshold", "(SELECT p02 FROM othr)"),
+        ("ocara", "upper_used", "(SELECT upper_used FROM othr)"),
+        ("ocara", "lower_used", "(SELECT lower_used FROM othr)"),
+        ("risky", "total_unique_risky", n("risk_master")),
+        ("risky", "risky_pct", f"coalesce({n('risk_master')} / nullif({n('cohort')}, 0), 0) * 100"),
+        *[("risky", s, n("risk_master", f"WHERE flag_{s}")) for s in ("review", "calls", "ocara", "ticket",
+                                                                       "inappchat")],
+        ("seed", "safe_seed_captains", n("seed")),
+        ("new_feedback", "live_feedback_excluded", n("fb_live", "WHERE excluded")),
+        ("new_feedback", "rating_screen_excluded", n("fb_rating", "WHERE excluded")),
+        ("new_feedback", "union", n("feedback_ids")),
+        ("final", "nminus1_after_new_feedback", n("nminus1")), ("final", "after_shift_filter", n("final_list")),
+        ("audit", "rows", n("audit")), ("audit", "unique_captains", "(SELECT count(DISTINCT captain_id) FROM audit)"),
+    ]
+    return "\nUNION ALL ".join(f"SELECT '{st}' AS stage, '{mt}' AS metric, round(CAST({v} AS DOUBLE), 6) AS value"
+                               for st, mt, v in rows)
+
+
 def oracle_queries(cfg: RunConfig = CFG) -> dict[str, str]:
     S = lambda needs, select, wide="w1": sql(cfg, needs, select, wide)
     calls_cols = ("captain_id, ride_count_f, ride_count_m, " + _cols("", CALLS_DOUBLES))
@@ -124,6 +168,7 @@ def oracle_queries(cfg: RunConfig = CFG) -> dict[str, str]:
            "SELECT *, row_number() OVER (PARTITION BY signal ORDER BY captain_id, logic, evidence) AS rank "
            "FROM audit) WHERE rank <= " + str(cfg.top_k_audit))
     return {
+        "funnel_metrics": S(FUNNEL_NEEDS, funnel_sql(cfg)),
         "eligible_cohort": S(["cohort"], "SELECT captain_id FROM cohort"),
         "female_stats": S(["female_stats"], "SELECT * FROM female_stats"),
         "cohort_orders": S(["bc"], "SELECT captain_id, order_id, order_date, customer_gender, gender FROM bc"),
