@@ -18,8 +18,23 @@ from pyspark.sql import functions as F
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+FACT_TABLES = ("lineitem", "events")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster's parallelism.
+
+    A fact file written as one parquet row group is read by one task, and the
+    joins and projections chained on it run in that task too.  Large inputs
+    have many row groups (splits >= parallelism) and are returned untouched.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def read_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    return {n: spread(df) if n in FACT_TABLES else df for n, df in t.items()}
 
 
 def _s(c) -> Column:
@@ -35,16 +50,20 @@ def _epoch(ts: Column) -> Column:
 
 
 def f_rides(t: dict[str, DataFrame]) -> DataFrame:
-    """lineitem x orders x supplier x nation x region with the shared keys."""
+    """lineitem x orders x supplier x nation x region with the shared keys.
+
+    Each dimension joins the fact side directly (not pre-joined to each other):
+    a single-table side keeps its file-size statistics, so the planner
+    broadcasts it while small and falls back to a sort-merge join when the
+    table grows with the scale factor -- no hint needed.
+    """
     li = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                               "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
     o = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    geo = (t["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-           .join(t["nation"].select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey")
-           .join(t["region"].select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey")
-           .select("l_suppkey", "s_nationkey", "r_name"))
-    # join strategy left to AQE: supplier grows with the scale factor, so no broadcast hint
-    return (li.join(o, "l_orderkey").join(geo, "l_suppkey")
+    sup = t["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    nat = t["nation"].select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    reg = t["region"].select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return (li.join(o, "l_orderkey").join(sup, "l_suppkey").join(nat, "s_nationkey").join(reg, "n_regionkey")
             .withColumn("oid", F.concat(_s("l_orderkey"), F.lit("-"), _s("l_linenumber")))
             .withColumn("cap", _s("l_suppkey"))
             .withColumn("day", _day(F.col("l_shipdate"))))
@@ -131,10 +150,10 @@ def source_views(spark: SparkSession, sf_dir: str, store: bool = True) -> dict[s
         F.col("ts").alias("updated_epoch"),
         F.col("event_id"),
     )
-    sup_geo = (t["supplier"].select("s_suppkey", "s_nationkey")
-               .join(t["nation"].select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey")
-               .join(t["region"].select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey"))
-    v["t3"] = (ev.join(sup_geo, ev.user_id == sup_geo.s_suppkey).select(
+    sup = t["supplier"].select(F.col("s_suppkey").alias("user_id"), "s_nationkey")
+    nat = t["nation"].select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    reg = t["region"].select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    v["t3"] = (ev.join(sup, "user_id").join(nat, "s_nationkey").join(reg, "n_regionkey").select(
         _s("user_id").alias("_id"),
         F.concat(F.lit("SHIFT_"), _s(F.col("event_id") % 6)).alias("shift_name"),
         F.concat(F.lit("000-"), _s("user_id")).alias("mobile"),
