@@ -51,13 +51,14 @@ def value_counts(df: DataFrame, col: str | Column) -> DataFrame:
 
 
 def _with_bucket(vals: DataFrame, buckets: int, accuracy: int) -> DataFrame:
-    ranks = [i / buckets for i in range(1, buckets)]
+    m = buckets - 1
+    # one literal array expression (not one JVM call per element)
+    ranks = F.expr("array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
     bounds = vals.agg(F.percentile_approx("v", ranks, accuracy)).scalar()
-    m = len(ranks)
     levels = max(1, (m).bit_length())
     # lower bound by binary search, folded over the halving step sizes: the number
     # of boundaries strictly below v, a monotone function of v
-    steps = F.array(*[F.lit(1 << j) for j in reversed(range(levels))])
+    steps = F.expr("array(" + ", ".join(str(1 << j) for j in reversed(range(levels))) + ")")
 
     def step(acc, st):
         nxt = acc + st

@@ -38,18 +38,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a scratch one only if unset.
 
-    On a cluster ``spark.checkpoint.dir`` is set to a shared folder and is used
-    as is.  Only a local test session without it gets a fresh ``/tmp`` folder.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder (the context
+    picks it up at start) and is used as is.  Only a session without it -- a
+    local test -- gets a fresh ``/tmp`` folder.
     """
-    cur = spark.conf.get("spark.checkpoint.dir", None)
-    if not cur:
-        cur = spark.sparkContext.getCheckpointDir()
-    if not cur:
-        cur = tempfile.mkdtemp(prefix="cohortkit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", cur)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(cur)
-    return cur
+    sc = spark.sparkContext
+    cur = sc.getCheckpointDir()
+    if cur:
+        return cur
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="cohortkit-ckpt-",
+                                                      dir=os.environ.get("TMPDIR", "/tmp")))
+    return sc.getCheckpointDir()
 
 
 def materialize(df, label: str = "stage"):

@@ -73,3 +73,17 @@ def test_plans_push_filters_and_stay_jvm_side(spark):
     for df in (r.audit, r.final, r.risky):
         p = df._jdf.queryExecution().optimizedPlan().toString()
         assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_same_result_for_any_partition_count(spark):
+    """Determinism: 1, 7 and 64 shuffle partitions give the same final list and audit log."""
+    out = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "7", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            r = _run(spark, SF_SMALL)
+            out.append((sorted(tuple(x) for x in r.final.collect()), sorted(tuple(x) for x in r.audit.collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert out[0] == out[1] == out[2]
