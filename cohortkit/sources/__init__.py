@@ -1,5 +1,7 @@
 """Sources and sinks: table-name maps, fixture views, CSV/parquet writers."""
 
+from .catalog import SOURCE_ROLES, read_sources
 from .fixtures import source_views, wide_view
+from .sinks import write_outputs
 
-__all__ = ["source_views", "wide_view"]
+__all__ = ["SOURCE_ROLES", "read_sources", "source_views", "wide_view", "write_outputs"]
