@@ -87,3 +87,21 @@ def test_same_result_for_any_partition_count(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out[0] == out[1] == out[2]
+
+
+def test_facts_plan_spreads_a_hot_captain(spark):
+    """The distinct-ride aggregate shuffles on (captain, gender, order), partial aggregates first."""
+    import contextlib
+    import io
+    import re
+
+    from cohortkit.config import fixture_config
+    from cohortkit.plans.signals import captain_facts
+
+    r = _run(spark, SF_SMALL)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        captain_facts(r.signal_orders, fixture_config()).explain("formatted")
+    p = buf.getvalue()
+    assert re.search(r"hashpartitioning\(captain_id#\d+, gender#\d+, order_id#\d+", p)
+    assert "SortMergeJoin" not in p and "SinglePartition" not in p.split("Subquery")[0]
