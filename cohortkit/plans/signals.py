@@ -243,18 +243,18 @@ class SignalSet:
         return materialize(f, "captain-facts") if self.materialize else f
 
     def _stored(self, sig: Signal, label: str) -> Signal:
-        """Store the flagged set (small, per captain): thresholds are evaluated once per run."""
+        """Store a thresholded flagged set (small, per captain): its quantiles run once per run."""
         if not self.materialize:
             return sig
         return Signal(metrics=sig.metrics, flagged=materialize(sig.flagged, label), thresholds=sig.thresholds)
 
     @cached_property
     def chat(self) -> Signal:
-        return self._stored(sig_chat(self.facts, self.cfg), "flagged-chat")
+        return sig_chat(self.facts, self.cfg)  # no threshold: a projection of the stored facts
 
     @cached_property
     def ticket(self) -> Signal:
-        return self._stored(sig_ticket(self.facts, self.cfg), "flagged-ticket")
+        return sig_ticket(self.facts, self.cfg)
 
     @cached_property
     def review(self) -> Signal:

@@ -104,3 +104,30 @@ def test_top_k(spark):
     df = spark.createDataFrame([("s1", i) for i in range(10)] + [("s2", 1)], "g string, v int")
     got = top_k_per_group(df, ["g"], [F.col("v")], 3).collect()
     assert sorted((r.g, r.v) for r in got) == [("s1", 0), ("s1", 1), ("s1", 2), ("s2", 1)]
+
+
+def test_latest_per_key_random_vs_python(spark):
+    """Random keys, orders with nulls and ties: the pick equals a plain-Python sort."""
+    rnd = random.Random(3)
+    rows = [(rnd.choice("abcde"), rnd.choice([None, 1, 2, 3]), rnd.randint(0, 3), rnd.choice("xyz"))
+            for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, d int, t int, v string")
+    got = {r.k: (r.d, r.t, r.v) for r in latest_per_key(df, ["k"], ["d"], ["t"], ["d", "t", "v"]).collect()}
+
+    def rank(r):  # DESC NULLS LAST on each of (d, t, v)
+        return tuple((x is not None, x if x is not None else 0) for x in r[1:])
+
+    want = {}
+    for r in rows:
+        if r[0] not in want or rank(r) > rank(want[r[0]]):
+            want[r[0]] = r
+    assert got == {k: v[1:] for k, v in want.items()}
+
+
+def test_k_of_n_vote_random(spark):
+    from cohortkit.operators import k_of_n
+    rnd = random.Random(5)
+    rows = [tuple(rnd.choice([True, False, None]) for _ in range(3)) for _ in range(100)]
+    df = spark.createDataFrame(rows, "a boolean, b boolean, c boolean")
+    got = [r.v for r in df.select(k_of_n([F.col("a"), F.col("b"), F.col("c")], 2).alias("v")).collect()]
+    assert got == [sum(1 for x in r if x) >= 2 for r in rows]
