@@ -8,12 +8,14 @@ the caller; nothing is written to a machine-local default.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 OUTPUT_NAMES = {
     "seed": "seeding_list_{tag}",
     "nminus1": "seed_nminus1_{tag}",
     "final": "final_list_{tag}",
     "audit": "audit_log_{tag}",
+    "risk": "risk_master_{tag}",
 }
 
 
@@ -23,7 +25,14 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def write_outputs(run, out_dir: str) -> dict[str, str]:
-    """Write seed, n-minus-1, final list and audit log under ``out_dir``; return their paths."""
+    """Write seed, n-minus-1, final list, audit log and risk master under ``out_dir``.
+
+    Id lists are sorted by captain and the risk master by number of signals
+    (desc) then captain -- a range-partitioned sort of small per-captain
+    tables, only at the sink.
+    """
     tag = run.cfg.run_tag
-    frames = {"seed": run.seed, "nminus1": run.nminus1, "final": run.final, "audit": run.audit}
+    key = "captain_id"
+    frames = {"seed": run.seed.orderBy(key), "nminus1": run.nminus1.orderBy(key), "final": run.final.orderBy(key),
+              "audit": run.audit, "risk": run.risky.orderBy(F.desc("total_signals"), F.col(key))}
     return {k: write_csv(frames[k], f"{out_dir.rstrip('/')}/{OUTPUT_NAMES[k].format(tag=tag)}") for k in frames}
