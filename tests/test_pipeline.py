@@ -105,3 +105,16 @@ def test_facts_plan_spreads_a_hot_captain(spark):
     p = buf.getvalue()
     assert re.search(r"hashpartitioning\(captain_id#\d+, gender#\d+, order_id#\d+", p)
     assert "SortMergeJoin" not in p and "SinglePartition" not in p.split("Subquery")[0]
+
+
+def test_sinks_write_tagged_sorted_outputs(spark, tmp_path):
+    from cohortkit.sources.sinks import write_outputs
+
+    r = _run(spark, SF_SMALL)
+    paths = write_outputs(r, str(tmp_path / "out"))
+    assert sorted(paths) == ["audit", "final", "nminus1", "risk", "seed"]
+    assert all(p.endswith("_01jan2000") for p in paths.values())
+    final = [x.captain_id for x in spark.read.option("header", True).csv(paths["final"]).collect()]
+    assert final == sorted(final) and len(final) == r.final.count()
+    risk = [int(x.total_signals) for x in spark.read.option("header", True).csv(paths["risk"]).collect()]
+    assert risk == sorted(risk, reverse=True)
