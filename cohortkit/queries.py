@@ -17,7 +17,7 @@ from .config import RunConfig, fixture_config
 from .oracle.pipeline_sql import r6, sql
 from .plans import base_table as bt
 from .plans.seeding import audit_top, run_seeding
-from .session import materialize
+from .session import materialize, use_scratch_checkpoint_dir
 from .sources.fixtures import source_views, wide_view
 
 CFG: RunConfig = fixture_config()
@@ -102,7 +102,11 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "base_final_list": lambda s, d: _run(s, d, source="base").final,
         "base_audit_log": lambda s, d: _run(s, d, source="base").audit,
     }
-    return q
+    return {name: _with_stage_folder(f) for name, f in q.items()}
+
+
+def _with_stage_folder(f):
+    return lambda spark, sf_dir: f(use_scratch_checkpoint_dir(spark), sf_dir)
 
 
 def _cols(prefix: str, cols) -> str:

@@ -7,8 +7,8 @@ from the platform and ``spark.checkpoint.dir`` names the shared folder.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,27 +31,39 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    return spark
+    return use_scratch_checkpoint_dir(spark)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only if unset.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for stored stage tables, as the session names it.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder (the context
-    picks it up at start) and is used as is.  Only a session without it -- a
-    local test -- gets a fresh ``/tmp`` folder.
+    Fails when the session has none: a machine-local folder would split a
+    stage's part files over the executors of a cluster.
     """
     sc = spark.sparkContext
-    cur = sc.getCheckpointDir()
-    if cur:
-        return cur
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="cohortkit-ckpt-",
-                                                      dir=os.environ.get("TMPDIR", "/tmp")))
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named:
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def use_scratch_checkpoint_dir(spark: SparkSession) -> SparkSession:
+    """For tests, bench and registered queries: a scratch folder where the session names none.
+
+    Only a ``local`` master, whose driver and executors are one process, gets
+    one; any other master must name its shared folder.
+    """
+    sc = spark.sparkContext
+    unset = not (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+                 or sc.getConf().get("spark.checkpoint.dir", None))
+    if unset and (sc.master == "local" or sc.master.startswith("local[")):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortkit-ckpt-"))
+    checkpoint_dir(spark)
+    return spark
+
+
 def materialize(df, label: str = "stage"):
     """Write ``df`` as parquet under the session's checkpoint folder and read it back.
 
@@ -60,10 +72,8 @@ def materialize(df, label: str = "stage"):
     statistics for AQE's join choices.  The folder is the shared one named by
     ``spark.checkpoint.dir`` on a cluster; a fresh sub-folder per call.
     """
-    import uuid
-
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
+    root = checkpoint_dir(spark).rstrip("/")
     path = f"{root}/cohortkit/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
