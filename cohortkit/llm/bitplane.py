@@ -28,9 +28,12 @@ with the same id keep an order by text; an empty table has no files.
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +169,7 @@ _CLASS[[c for c in range(33, 127) if _CLASS[c] == OTHER]] = MARK
 
 
 def cuts(buf: np.ndarray) -> np.ndarray:
-    """Places in UTF-8 bytes where a pre-token surely begins."""
+    """Flags of UTF-8 bytes where a pre-token surely begins."""
     cls = _CLASS[buf]
     # letters of the Latin-1 supplement: lead byte C3 and the byte after it, without the two signs among them
     lead = np.flatnonzero(buf[:-1] == 0xC3)
@@ -184,55 +187,79 @@ def cuts(buf: np.ndarray) -> np.ndarray:
         blank, brk = single & (cls[1:-1] == BLANK), single & (cls[1:-1] == BREAK)
         cut[1:-1] |= blank | brk
         cut[2:] |= brk
-    return np.flatnonzero(cut)
+    return cut
 
 
 class Encoder:
     """Ids of whole texts; distinct pieces are encoded once while the cache holds them."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        # the byte-level alphabet: printable bytes are themselves, the others follow from 256
+        self.alphabet = {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache, self.known = cache, {}
-
-    def _ids(self, texts: list) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.cache = cache
+        self._clear()
+
+    def _clear(self):
+        self.known = {}  # piece -> its number; piece k has ids table[ends[k]:ends[k + 1]]
+        self.table, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _pre_token(self, piece: str) -> bool:
+        """Whether the piece is surely one pre-token: a blank at most, then only letters or only digits."""
+        word = piece[1:] if piece[0] == " " else piece
+        return word.isalpha() or (word.isascii() and word.isdigit())
+
+    def _learn(self, new: list[str]) -> None:
+        bpe, letters = self.model.tokenize, self.alphabet
+        ids = [[t.id for t in bpe(u.encode().decode("latin-1").translate(letters))] if self._pre_token(u)
+               else self.tok.encode(u, add_special_tokens=False).ids for u in new]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(ids), "<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids])])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        whole = {i: self._ids([t.decode()])[0] for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        whole = {i: np.array(self.tok.encode(t.decode(), add_special_tokens=False).ids, dtype="<u4")
+                 for i, t in enumerate(texts) if any(s in t for s in self.special)}
         joined = b"".join(t for i, t in enumerate(texts) if i not in whole)
-        sizes = np.array([0 if i in whole else len(t) for i, t in enumerate(texts)])
-        ends = np.cumsum(sizes)
-        flat, place = np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        if joined:
-            buf = np.frombuffer(joined, np.uint8)
-            # cuts found across the seam of two texts do no harm: a seam is a cut anyway
-            at = np.unique(np.concatenate([[0], self._safe_cuts(buf, ends), ends[ends < len(buf)]]))
-            offsets = pa.py_buffer(np.append(at, len(buf)).astype(np.int32))
-            arr = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(joined)])
-            code = pc.dictionary_encode(arr)
-            uniq = code.dictionary.to_pylist()
-            if len(self.known) + len(uniq) > self.cache:
-                self.known = {}
-            new = [u for u in uniq if u not in self.known]
-            for a in range(0, len(new), 50_000):
-                part = new[a:a + 50_000]
-                self.known.update(zip(part, self._ids([u.decode() for u in part])))
-            ids = [self.known[u] for u in uniq]
-            n = np.array([len(x) for x in ids])
-            table, first = np.concatenate(ids), np.cumsum(n) - n
-            which = code.indices.to_numpy()
-            times = n[which]
-            upto = np.cumsum(times)
-            flat = table[np.arange(upto[-1]) + np.repeat(first[which] - (upto - times), times)]
-            place = np.concatenate([[0], upto])[np.searchsorted(np.append(at, len(buf)), np.append(0, ends))]
-        return [whole[i] if i in whole else flat[place[i]:place[i + 1]] if joined else flat for i in range(len(texts))]
-
-    @staticmethod
-    def _safe_cuts(buf, ends):
-        return cuts(buf)
+        if not joined:
+            return [whole.get(i, np.zeros(0, "<u4")) for i in range(len(texts))]
+        ends = np.cumsum([0 if i in whole else len(t) for i, t in enumerate(texts)])
+        buf = np.frombuffer(joined, np.uint8)
+        begin = cuts(buf)
+        # texts are cut apart; a cut found by looking across the seam of two texts is none
+        near = np.concatenate([ends - 1, ends + 1])
+        begin[near[(near >= 0) & (near < len(buf))]] = False
+        begin[ends[ends < len(buf)]] = begin[0] = True
+        at = np.append(np.flatnonzero(begin), len(buf))
+        arr = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(joined)])
+        code = pc.dictionary_encode(arr)
+        uniq = code.dictionary.to_pylist()
+        if len(self.known) + len(uniq) > self.cache:
+            self._clear()
+        known = self.known
+        new = [u for u in uniq if u not in known]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(known.__getitem__, uniq), np.int64, len(uniq))[code.indices.to_numpy()]
+        first = self.ends[number]
+        upto = np.cumsum(self.ends[number + 1] - first)
+        flat = self.table[np.arange(upto[-1]) + np.repeat(first - np.append(0, upto[:-1]), np.diff(upto, prepend=0))]
+        place = np.append(0, upto)[np.searchsorted(at, np.append(0, ends))]
+        return [whole[i] if i in whole else flat[place[i]:place[i + 1]] for i in range(len(texts))]
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder: its cache of pieces outlives a task."""
+    held = sys.modules.setdefault("_bitplane_encoders", types.ModuleType("_bitplane_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, how: Planes = Planes(), end_id: int = 0,
@@ -246,7 +273,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, how: Planes = Planes()
     def run(batches):
         store, root = open_store(path)
         store.create_dir(root, recursive=True)
-        enc, out, writer, name, number, done = Encoder(tokenizer), None, None, None, 0, []
+        enc, out, writer, name, number, done = encoder(tokenizer), None, None, None, 0, []
         part = 0
 
         def close():
@@ -259,7 +286,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, how: Planes = Planes()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             ids = batch.column(0).to_pylist()
-            for a, b in pieces(texts, 2_000_000):
+            for a, b in pieces(texts, 8_000_000):
                 part = batch.column(2)[a].as_py()
                 for d, x in zip(ids[a:b], enc.encode([t or b"" for t in texts[a:b]])):
                     if writer is None:

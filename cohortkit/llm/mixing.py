@@ -108,21 +108,37 @@ def draw(seed: str, id_col: str = "doc_id") -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def probabilities(rows: DataFrame, how: Mix) -> DataFrame:
+    """(source, lang, topic, prob) of every combination among ``rows`` (as ``strata`` makes them)."""
+    cells = stage(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
+    key = cells
+    for d in DIMS:
+        names = pooled(cells, d, how.max_categories).withColumnsRenamed({"category": d, "stratum": f"_s_{d}"})
+        key = key.join(names, d)
+    key = stage(key, "mix-keys")
+    strata_of = [F.col(f"_s_{d}").alias(d) for d in DIMS]
+    small = key.groupBy(*strata_of).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
+    raked = stage(rake(small, how), "mix-raked").select(*[F.col(d).alias(f"_s_{d}") for d in DIMS], "prob")
+    return stage(key.join(raked, [f"_s_{d}" for d in DIMS], "left")
+                 .select(*DIMS, F.coalesce("prob", F.lit(1.0)).alias("prob")), "mix-prob")
+
+
+def with_draw(rows: DataFrame, prob: DataFrame, how: Mix) -> DataFrame:
+    """``rows`` with ``prob`` and ``kept``."""
+    prob = prob.withColumnsRenamed({d: f"_c_{d}" for d in DIMS})
+    out = rows.join(prob, [F.col(d) == F.col(f"_c_{d}") for d in DIMS]).drop(*[f"_c_{d}" for d in DIMS])
+    return out.withColumn("kept", draw(how.seed) < F.col("prob"))
+
+
 def mix(docs: DataFrame, how: Mix = Mix(), topic: Column | None = None, text: str = "text") -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, prob, kept) for every document; categories are strata."""
+    """(doc_id, source, lang, topic, tokens, prob, kept) for every document."""
     rows = stage(strata(docs, topic, text), "mix-strata")
-    cells = stage(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "mix-cells")
-    named = {d: stage(pooled(cells, d, how.max_categories), f"mix-{d}") for d in DIMS}
+    return with_draw(rows, probabilities(rows, how), how)
 
-    key = cells
-    for d, m in named.items():
-        key = key.join(m.select(F.col("category").alias(d), F.col("stratum").alias(f"_s_{d}")), d)
-    key = stage(key, "mix-keys")
-    small = key.groupBy(*[F.col(f"_s_{d}").alias(d) for d in DIMS]).agg(F.sum("tokens").alias("tokens"))
-    raked = stage(rake(small.filter("tokens > 0"), how), "mix-raked")
-    prob = stage(key.join(raked.select(*[F.col(d).alias(f"_s_{d}") for d in DIMS], "prob"),
-                          [f"_s_{d}" for d in DIMS], "left")
-                 .select(*[F.col(d).alias(f"_c_{d}") for d in DIMS], F.coalesce("prob", F.lit(1.0)).alias("prob")),
-                 "mix-prob")
-    return (rows.join(prob, [F.col(d) == F.col(f"_c_{d}") for d in DIMS])
-            .select("doc_id", *DIMS, "tokens", "prob", (draw(how.seed) < F.col("prob")).alias("kept")))
+
+def sample(docs: DataFrame, how: Mix = Mix(), topic: Column | None = None, text: str = "text") -> DataFrame:
+    """The documents drawn, with the columns of ``docs``: those whose draw is below their cell's probability."""
+    low = stage(strata(docs, topic, text), "mix-strata")
+    kept = stage(with_draw(low, probabilities(low, how), how).filter("kept").select(F.col("doc_id").alias("_kept")).distinct(),
+                 "mix-kept")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
