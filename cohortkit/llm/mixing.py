@@ -138,7 +138,9 @@ def mix(docs: DataFrame, how: Mix = Mix(), topic: Column | None = None, text: st
 
 def sample(docs: DataFrame, how: Mix = Mix(), topic: Column | None = None, text: str = "text") -> DataFrame:
     """The documents drawn, with the columns of ``docs``: those whose draw is below their cell's probability."""
-    low = stage(strata(docs, topic, text), "mix-strata")
-    kept = stage(with_draw(low, probabilities(low, how), how).filter("kept").select(F.col("doc_id").alias("_kept")).distinct(),
-                 "mix-kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    prob = probabilities(strata(docs, topic, text), how)
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
+    own = {"_c_source": none("source"), "_c_lang": none("lang"), "_c_topic": default_topic(text) if topic is None else topic}
+    keys = prob.select(*[F.col(d).alias(f"_p_{d}") for d in DIMS], F.col("prob").alias("_prob"))
+    out = docs.withColumns(own).join(keys, [F.col(f"_c_{d}") == F.col(f"_p_{d}") for d in DIMS])
+    return out.filter(draw(how.seed) < F.col("_prob")).select(*docs.columns)

@@ -332,6 +332,7 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     groups = simhash_groups(docs, **how)
     first = stage(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
                   .select(F.col("doc_id").alias("_first")).distinct(), "simhash-first")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    # one plan at every size: the texts move once, by id
+    kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     return kept.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*docs.columns)
