@@ -54,12 +54,12 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
            CASE event_type WHEN 'purchase' THEN 'Bike Rated by Women,Link' WHEN 'view' THEN 'Scooty'
                 WHEN 'click' THEN 'Bike' WHEN 'error' THEN 'Link' WHEN 'signup' THEN 'Auto' END
              AS riderinfo__servicenames,
-           ts AS updated_epoch, event_id
+           ts AS updated_epoch
     FROM events""", ()),
     "t3": ("""
     SELECT CAST(e.user_id AS VARCHAR) AS _id, 'SHIFT_' || CAST(e.event_id % 6 AS VARCHAR) AS shift_name,
            '000-' || CAST(e.user_id AS VARCHAR) AS mobile, r.r_name AS city, e.ts AS created_on,
-           e.event_id % 5 <> 0 AS active, e.event_id
+           e.event_id % 5 <> 0 AS active
     FROM events e
     JOIN supplier s ON e.user_id = s.s_suppkey
     JOIN nation n ON s.s_nationkey = n.n_nationkey

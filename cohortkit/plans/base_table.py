@@ -29,6 +29,7 @@ from ..config import (CANCEL_EVENT_TYPES, LIVE_FEEDBACK_TAG, RATING_SCREEN_TAG,
                       SERVICE_CLASSES, TEXT_INPUT_TYPES, RunConfig)
 from ..functions import first_match, isin_ci
 from ..operators import keep, latest_per_key, latest_per_key_by_case
+from ..session import materialize
 
 Sources = Mapping[str, DataFrame]
 
@@ -70,7 +71,7 @@ def latest_service(src: Sources, base: DataFrame) -> DataFrame:
     """Latest service-names row per captain (ranked before the class filter) and its class."""
     t2 = src["t2"].withColumnRenamed("riderinfo__userid", "captain_id")
     t2 = keep(t2, base, "captain_id")
-    last = latest_per_key(t2, ["captain_id"], order=["updated_epoch"], ties=["event_id"],
+    last = latest_per_key(t2, ["captain_id"], order=["updated_epoch"],
                           payload=["riderinfo__servicenames", "updated_epoch"])
     return last.withColumn("service_type", first_match(F.col("riderinfo__servicenames"), SERVICE_CLASSES,
                                                        SERVICE_CLASS_DEFAULT))
@@ -87,7 +88,7 @@ def rider_snapshot(src: Sources, base: DataFrame, cfg: RunConfig) -> DataFrame:
     """Latest *active* snapshot row per captain, kept when its city is in scope."""
     t3 = src["t3"].withColumnRenamed("_id", "captain_id").where(F.col("active") == True)  # noqa: E712
     t3 = keep(t3, base, "captain_id")
-    last = latest_per_key(t3, ["captain_id"], order=["created_on"], ties=["event_id"],
+    last = latest_per_key(t3, ["captain_id"], order=["created_on"],
                           payload=["shift_name", "mobile", "city"])
     return last.where(F.col("city").isin(list(cfg.city_ids)))
 
@@ -184,9 +185,13 @@ def feedback_merge(src: Sources, cfg: RunConfig) -> DataFrame:
 
 
 def build_base_table(src: Sources, cfg: RunConfig) -> DataFrame:
-    """The 33-column order-grain table (+ ``mobile``)."""
+    """The 33-column order-grain table (+ ``mobile``).
+
+    The captain mapping is stored: the join of the order log with it then has a
+    plain shuffle on both sides, which adaptive execution can split for a hot captain.
+    """
     olf = order_scope(src, cfg)
-    cm = captain_mapping(src, olf, cfg)
+    cm = materialize(captain_mapping(src, olf, cfg), "captain-mapping")
     oc = cancel_counts(src, cfg)
     cd = calls_per_order(src, cfg)
     tl = text_labels(src, cfg)

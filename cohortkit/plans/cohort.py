@@ -47,12 +47,19 @@ def scoped_orders(wide: DataFrame, cfg: RunConfig) -> DataFrame:
 
     No upper date bound and all captains (not only the cohort): the feedback
     rules and the metadata pick read this frame.
+
+    Text dates are first compared as text with the ISO start day (pushed to the
+    scan, and true for every date that parses to the window), then parsed
+    leniently: a malformed value becomes null and its row is dropped.
     """
-    scope = (F.col("ride_city").isin(list(cfg.city_ids))
-             & (F.col("order_status") == cfg.dropped_status)
-             & (F.col("order_date") >= ts_lit(cfg.window_start)))
+    if isinstance(wide.schema["order_date"].dataType, StringType):
+        since = F.col("order_date") >= cfg.window_start.strftime("%Y-%m-%d")
+    else:
+        since = F.col("order_date") >= ts_lit(cfg.window_start)
+    scope = F.col("ride_city").isin(list(cfg.city_ids)) & (F.col("order_status") == cfg.dropped_status) & since
     return (normalize(wide.where(scope))
-            .where(F.col("customer_gender").isin([cfg.male_code, cfg.female_code])))
+            .where((F.col("order_date") >= ts_lit(cfg.window_start))
+                   & F.col("customer_gender").isin([cfg.male_code, cfg.female_code])))
 
 
 def base_orders(df: DataFrame, cfg: RunConfig) -> DataFrame:
@@ -95,10 +102,11 @@ class Cohort:
     orders: DataFrame  # base rows of eligible captains (with ``gender``)
 
 
-def eligible_cohort(wide: DataFrame, cfg: RunConfig) -> Cohort:
+def eligible_cohort(wide: DataFrame, cfg: RunConfig, store=lambda df, label: df) -> Cohort:
+    """``store`` keeps the per-captain statistics, so that the ids are read and not aggregated anew."""
     df = scoped_orders(wide, cfg)
     base = base_orders(df, cfg)
-    stats = female_stats(base, cfg)
+    stats = store(female_stats(base, cfg), "female-stats")
     ids = (stats.where((F.col("female_total_rides") >= cfg.female_min_rides)
                        & (F.col("female_rated_rides") >= cfg.female_min_rated)
                        & (F.col("bad_female_ratings") == 0))

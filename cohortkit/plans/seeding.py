@@ -82,8 +82,10 @@ def audit_top(audit: DataFrame, k: int) -> DataFrame:
 class SeedingRun:
     """One run of the job; every stage is a lazy DataFrame built on first use.
 
-    Only the per-captain facts and the quantiles' value counts are
-    materialised (parquet in the checkpoint folder); row-grain frames stay lazy.
+    Stored when materialising (parquet in the checkpoint folder): the cohort's
+    statistics and its orders (row grain, signal columns), the per-captain facts,
+    flagged sets, thresholds, feedback tables, risk master, remaining captains and
+    their metadata.  Outputs and metrics read those.
     """
 
     def __init__(self, wide: DataFrame, cfg: RunConfig, materialize: bool = True):
@@ -91,7 +93,7 @@ class SeedingRun:
 
     @cached_property
     def cohort(self) -> Cohort:
-        return eligible_cohort(self.wide, self.cfg)
+        return eligible_cohort(self.wide, self.cfg, self._keep)
 
     @cached_property
     def signal_orders(self) -> DataFrame:
@@ -114,7 +116,7 @@ class SeedingRun:
 
     @cached_property
     def risky(self) -> DataFrame:
-        return risk_master(self.signals)
+        return self._keep(risk_master(self.signals), "risk-master")
 
     @cached_property
     def seed(self) -> DataFrame:
@@ -134,11 +136,11 @@ class SeedingRun:
 
     @cached_property
     def nminus1(self) -> DataFrame:
-        return exclude(self.seed, self.feedback, KEY)
+        return self._keep(exclude(self.seed, self.feedback, KEY), "nminus1")
 
     @cached_property
     def meta(self) -> DataFrame:
-        return captain_meta(self.cohort.scoped, self.nminus1)
+        return self._keep(captain_meta(self.cohort.scoped, self.nminus1), "meta")
 
     @cached_property
     def final(self) -> DataFrame:
@@ -186,15 +188,17 @@ def funnel_metrics(r: SeedingRun) -> DataFrame:
     """
     s = r.signals
     _ROWS = F.count(F.lit(1))
+    _sum = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    applied = r.overlap()
     one = r.cohort.ids.agg(_ROWS.alias("_n"))
     parts = [
         _stage(r.cohort.scoped, "cohort", {"source_rows": _ROWS}),
         _stage(r.cohort.base, "cohort", {"base_6m_dropped": _ROWS}),
         _stage(r.cohort.ids, "cohort", {"cohort_captains": _ROWS}),
         _stage(r.cohort.orders, "cohort", {"cohort_orders": _ROWS}),
-        _stage(s.chat.flagged, "inappchat", {"captains_flagged": _ROWS, "female_incidents": F.sum("female_incidents"),
-                                             "male_incidents": F.sum(F.col("incidents") - F.col("female_incidents"))}),
-        _stage(s.ticket.metrics, "ticket", {"tickets_total": F.sum("ticket_rows")}),
+        _stage(s.chat.flagged, "inappchat", {"captains_flagged": _ROWS, "female_incidents": _sum("female_incidents"),
+                                             "male_incidents": _sum(F.col("incidents") - F.col("female_incidents"))}),
+        _stage(s.ticket.metrics, "ticket", {"tickets_total": _sum("ticket_rows")}),
         _stage(s.ticket.flagged, "ticket", {"p0_p1_captains": F.count_distinct(KEY)}),
         _stage(s.review.flagged, "review", {"l0_flagged": F.count_if("flag_l0"), "l1_flagged": F.count_if("flag_l1"),
                                             "l2_flagged": F.count_if("flag_l2"), "total_review_risky": _ROWS}),
@@ -213,6 +217,7 @@ def funnel_metrics(r: SeedingRun) -> DataFrame:
         _stage(r.live, "new_feedback", {"live_feedback_excluded": F.count_if("excluded")}),
         _stage(r.rating, "new_feedback", {"rating_screen_excluded": F.count_if("excluded")}),
         _stage(r.feedback, "new_feedback", {"union": _ROWS}),
+        _stage(applied, "feedback_applied", {n: F.first(n) for n in applied.columns}),
         _stage(r.nminus1, "final", {"nminus1_after_new_feedback": _ROWS}),
         _stage(r.final, "final", {"after_shift_filter": _ROWS}),
         _stage(r.audit, "audit", {"rows": _ROWS, "unique_captains": F.count_distinct(KEY)}),

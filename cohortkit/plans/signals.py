@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
+from ..functions import safe_ratio
 from ..session import materialize
 from ..operators import (breach, cap_at, floor_at, lower_tail, max_then_sum, pivot_segments, quantile_col,
                          upper_tail, vote_count)
@@ -125,8 +126,8 @@ def review_l2(facts: DataFrame, cfg: RunConfig) -> tuple[DataFrame, Column]:
     """L2 rate per gender, captains with >= 1 L2 from each gender, and the p95 cut."""
     l2f = F.coalesce(F.col(f"l2_rows_{FEMALE}"), F.lit(0))
     l2m = F.coalesce(F.col(f"l2_rows_{MALE}"), F.lit(0))
-    rate_f = F.coalesce(l2f / F.col(f"rides_{FEMALE}"), F.lit(0.0))
-    rate_m = F.coalesce(l2m / F.col(f"rides_{MALE}"), F.lit(0.0))
+    rate_f = safe_ratio(l2f, F.col(f"rides_{FEMALE}"))
+    rate_m = safe_ratio(l2m, F.col(f"rides_{MALE}"))
     m = (facts.select(KEY, l2f.alias("l2_count_f"), l2m.alias("l2_count_m"),
                       F.col(f"rides_{FEMALE}").alias("total_rides_f"), F.col(f"rides_{MALE}").alias("total_rides_m"),
                       rate_f.alias("l2_rate_f"), rate_m.alias("l2_rate_m"))
@@ -203,8 +204,8 @@ def cancel_metrics(facts: DataFrame, cfg: RunConfig) -> DataFrame:
          .withColumn("accepted_m", F.col("rides_m") + F.col("cancels_m") + F.col("cc_m"))
          .where((F.col("accepted_f") >= cfg.min_rides_per_gender)
                 & (F.col("accepted_m") >= cfg.min_rides_per_gender)))
-    return (q.withColumn("rate_f", F.col("cancels_f") / F.col("accepted_f"))
-            .withColumn("rate_m", F.col("cancels_m") / F.col("accepted_m"))
+    return (q.withColumn("rate_f", F.try_divide("cancels_f", "accepted_f"))
+            .withColumn("rate_m", F.try_divide("cancels_m", "accepted_m"))
             .withColumn("diff", F.col("rate_f") - F.col("rate_m")))
 
 
@@ -243,10 +244,13 @@ class SignalSet:
         return materialize(f, "captain-facts") if self.materialize else f
 
     def _stored(self, sig: Signal, label: str) -> Signal:
-        """Store a thresholded flagged set (small, per captain): its quantiles run once per run."""
+        """Store a thresholded flagged set (small, per captain) and its thresholds (one row)."""
         if not self.materialize:
             return sig
-        return Signal(metrics=sig.metrics, flagged=materialize(sig.flagged, label), thresholds=sig.thresholds)
+        one = self.facts.agg(F.count(F.lit(1)).alias("n"))
+        row = materialize(one.select(*[c.alias(n) for n, c in sig.thresholds.items()]), f"{label}-thresholds")
+        return Signal(metrics=sig.metrics, flagged=materialize(sig.flagged, label),
+                      thresholds={n: row.select(n).scalar() for n in sig.thresholds})
 
     @cached_property
     def chat(self) -> Signal:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import RunConfig, fixture_config
-from .oracle.pipeline_sql import r6, sql
+from .oracle.pipeline_sql import r6, service_case, sql
 from .plans import base_table as bt
 from .plans.seeding import audit_top, run_seeding
 from .session import materialize, use_scratch_checkpoint_dir
@@ -67,10 +67,9 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cohort_orders": lambda s, d: _run(s, d).cohort.orders.select(
             "captain_id", "order_id", "order_date", "customer_gender", "gender"),
         # base table build
-        "latest_service": lambda s, d: bt.latest_service(
-            src(s, d), bt.captain_base(bt.order_scope(src(s, d), CFG))),
-        "service_class": lambda s, d: bt.service_class(src(s, d)),
-        "captain_mapping": lambda s, d: bt.captain_mapping(src(s, d), bt.order_scope(src(s, d), CFG), CFG),
+        "latest_service": lambda s, d: (lambda t: bt.latest_service(t, bt.captain_base(bt.order_scope(t, CFG))))(src(s, d)),
+        "service_class": lambda s, d: bt.service_class(src(s, d, store=False)),
+        "captain_mapping": lambda s, d: (lambda t: bt.captain_mapping(t, bt.order_scope(t, CFG), CFG))(src(s, d)),
         "cancel_counts": lambda s, d: bt.cancel_counts(src(s, d), CFG),
         "calls_per_order": lambda s, d: bt.calls_per_order(src(s, d), CFG),
         "text_labels": lambda s, d: bt.text_labels(src(s, d), CFG),
@@ -115,7 +114,9 @@ def _cols(prefix: str, cols) -> str:
 
 FUNNEL_NEEDS = ["sc", "base", "cohort", "bc", "sig_chat", "tickets", "sig_ticket", "sig_review", "p95",
                 "calls_metrics", "sig_calls", "cthr", "cancel_metrics", "sig_cancel", "othr", "risk_master", "seed",
-                "fb_live", "fb_rating", "feedback_ids", "nminus1", "final_list", "audit"]
+                "fb_live", "fb_rating", "feedback_ids", "fb_overlap", "nminus1", "final_list", "audit"]
+OVERLAP_COLUMNS = ("df_new_feedback_total", "already_in_5signal_risky", "incremental_new_removals",
+                   "incremental_in_cohort", "seed_before", "nminus1_after")
 
 
 def funnel_sql(cfg: RunConfig) -> str:
@@ -124,8 +125,8 @@ def funnel_sql(cfg: RunConfig) -> str:
         ("cohort", "source_rows", n("sc")), ("cohort", "base_6m_dropped", n("base")),
         ("cohort", "cohort_captains", n("cohort")), ("cohort", "cohort_orders", n("bc")),
         ("inappchat", "captains_flagged", n("sig_chat")),
-        ("inappchat", "female_incidents", "(SELECT sum(female_incidents) FROM sig_chat)"),
-        ("inappchat", "male_incidents", "(SELECT sum(incidents - female_incidents) FROM sig_chat)"),
+        ("inappchat", "female_incidents", "(SELECT coalesce(sum(female_incidents), 0) FROM sig_chat)"),
+        ("inappchat", "male_incidents", "(SELECT coalesce(sum(incidents - female_incidents), 0) FROM sig_chat)"),
         ("ticket", "tickets_total", n("tickets")),
         ("ticket", "p0_p1_captains", "(SELECT count(DISTINCT captain_id) FROM sig_ticket)"),
         ("review", "l0_flagged", n("sig_review", "WHERE flag_l0")),
@@ -149,6 +150,7 @@ def funnel_sql(cfg: RunConfig) -> str:
         ("new_feedback", "live_feedback_excluded", n("fb_live", "WHERE excluded")),
         ("new_feedback", "rating_screen_excluded", n("fb_rating", "WHERE excluded")),
         ("new_feedback", "union", n("feedback_ids")),
+        *[("feedback_applied", c, f"(SELECT {c} FROM fb_overlap)") for c in OVERLAP_COLUMNS],
         ("final", "nminus1_after_new_feedback", n("nminus1")), ("final", "after_shift_filter", n("final_list")),
         ("audit", "rows", n("audit")), ("audit", "unique_captains", "(SELECT count(DISTINCT captain_id) FROM audit)"),
     ]
@@ -176,21 +178,14 @@ def oracle_queries(cfg: RunConfig = CFG) -> dict[str, str]:
         "eligible_cohort": S(["cohort"], "SELECT captain_id FROM cohort"),
         "female_stats": S(["female_stats"], "SELECT * FROM female_stats"),
         "cohort_orders": S(["bc"], "SELECT captain_id, order_id, order_date, customer_gender, gender FROM bc"),
-        "latest_service": S(["step_a"], "SELECT captain_id, riderinfo__servicenames, updated_epoch, service_type "
-                                        "FROM step_a WHERE rn = 1"),
-        "service_class": S(["t2"], """
-            SELECT DISTINCT riderinfo__servicenames,
-                   CASE WHEN lower(riderinfo__servicenames) LIKE '%bike rated by women%' THEN 'prefbyher'
-                        WHEN lower(riderinfo__servicenames) LIKE '%scooty%' THEN 'bike_scooter'
-                        WHEN lower(riderinfo__servicenames) LIKE '%bike%'
-                          OR lower(riderinfo__servicenames) LIKE '%link%' THEN 'bike_motorbike'
-                        ELSE 'others' END AS service_type
-            FROM t2"""),
-        "captain_mapping": S(["captain_mapping"], "SELECT * FROM captain_mapping"),
-        "cancel_counts": S(["ocara"], "SELECT * FROM ocara"),
-        "calls_per_order": S(["calls_data"], "SELECT * FROM calls_data"),
-        "text_labels": S(["text_labels"], "SELECT * FROM text_labels"),
-        "feedback_merge": S(["new_feedback"], "SELECT * FROM new_feedback"),
+        "latest_service": S(["latest_service"], "SELECT * FROM latest_service"),
+        "service_class": S(["t2"], "SELECT DISTINCT riderinfo__servicenames, "
+                                   f"{service_case('riderinfo__servicenames')} AS service_type FROM t2"),
+        "captain_mapping": S(["mapping"], "SELECT * FROM mapping"),
+        "cancel_counts": S(["cancels"], "SELECT * FROM cancels"),
+        "calls_per_order": S(["calls"], "SELECT * FROM calls"),
+        "text_labels": S(["labels"], "SELECT * FROM labels"),
+        "feedback_merge": S(["feedback"], "SELECT * FROM feedback"),
         "base_table": S(["base_table"], "SELECT * FROM base_table"),
         "sig_chat": S(["sig_chat"], "SELECT * FROM sig_chat"),
         "sig_ticket": S(["sig_ticket"], "SELECT * FROM sig_ticket"),
