@@ -22,7 +22,8 @@ before a single blank, or around a single line break.  Texts are cut there and
 each distinct piece of a batch is encoded once by the tokenizers library.  A text
 that holds a special token's string is encoded whole.
 
-Defined results: a null or empty text has no ids of its own, only the end id; rows
+Defined results: a null or empty text has no ids of its own, only the end id; a
+null document id is stored as -1, before all others; rows
 with the same id keep an order by text; an empty table has no files.
 """
 

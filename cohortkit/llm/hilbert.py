@@ -104,7 +104,7 @@ def read_shards(spark, path: str, n_shards: int) -> DataFrame:
     """The files' rows with ``shard`` and ``slot`` (gapless from 0 in each shard)."""
     meta = lambda f: F.col(f"_metadata.{f}")
     rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
-    names = rows.columns
+    names = [c for c in rows.columns if c not in ("shard", "slot")]  # columns of that name give way
     rows = rows.select("*", meta("file_name").alias("_file"), meta("row_index").alias("_at"))
     # the writer numbers its files in range order: part-00000, part-00001, ...
     size = rows.groupBy(F.col("_file").alias("_f")).agg(F.count(F.lit(1)).alias("_n"))

@@ -76,6 +76,7 @@ def templates(docs: DataFrame, how: Tree = Tree(), **cols) -> DataFrame:
 
 def drop_templates(docs: DataFrame, how: Tree = Tree(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines of recurring templates, with ``n_lines`` and ``n_dropped``."""
+    docs = docs.drop("n_lines", "n_dropped")  # columns of these names give way
     lines, keys = recurring(docs, how, id_col=id_col, text_col=text_col)
     flags = (lines.join(keys, F.col("key") == F.col("_key"), "left")
              .groupBy("doc_id", "line_no").agg(F.max(F.col("_key").isNotNull()).alias("hit")))

@@ -222,7 +222,10 @@ def learn(docs: DataFrame, labels: DataFrame, how: Learn = Learn(), id_col: str
 
 
 def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``rule`` (the rejecting rule, null if none) and ``kept``."""
+    """``docs`` with the counts, ``base_failed``, ``rule`` (the rejecting rule, null if none) and ``kept``.
+
+    Columns of ``docs`` with those names are replaced.
+    """
     d = with_counts(docs, text_col).withColumn("base_failed", base_failed())
     d = d.withColumn("rule", F.when(~F.col("base_failed"), rules.verdict()))
     return d.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
@@ -230,6 +233,8 @@ def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataF
 
 def keep_good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
     """The documents kept, with the columns of ``docs``."""
-    # the row number bars the optimizer from pushing the filter below the counts, where it would compute them anew
-    judged = judge(docs, rules, text_col).withColumn("_row", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    # the document rides along as a struct, so a column of its own may share a name with a count; the row number bars
+    # the optimizer from pushing the filter below the counts, where it would compute them anew
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text"))
+    judged = judge(rows, rules, "_text").withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")

@@ -109,6 +109,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def dedup(docs: DataFrame, how: Units = Units(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated units taken out of the text, and ``removed``: array of (start, end, first_doc)."""
+    docs = docs.drop("removed")  # a column of that name gives way
     spans = repeated(docs, how, id_col, text_col)
     spans = stage(spans.groupBy(F.col("doc_id").alias("_doc")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end", "first_doc"))).alias("removed")), "unit-spans")
