@@ -84,7 +84,7 @@ def drop_templates(docs: DataFrame, how: Tree = Tree(), id_col: str = "doc_id",
         F.array_sort(F.collect_list(F.struct("line_no", "hit"))).alias("_flags"))
     flags = stage(flags.select("_doc", F.transform("_flags", lambda x: x["hit"]).alias("_hit"))
                   .filter(F.array_contains("_hit", True)), "template-flags")
-    out = docs.join(flags, F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+    out = docs.join(flags.hint("merge"), F.col(id_col).eqNullSafe(F.col("_doc")), "left")
     split = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.coalesce(F.get(F.col("_hit"), i), F.lit(False))), "\n")
     gone = F.coalesce(F.size(F.filter("_hit", lambda x: x)), F.lit(0))

@@ -113,7 +113,7 @@ def dedup(docs: DataFrame, how: Units = Units(), id_col: str = "doc_id", text_co
     spans = repeated(docs, how, id_col, text_col)
     spans = stage(spans.groupBy(F.col("doc_id").alias("_doc")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end", "first_doc"))).alias("removed")), "unit-spans")
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    joined = docs.join(spans.hint("merge"), F.col(id_col).eqNullSafe(F.col("_doc")), "left").drop("_doc")
     at, last = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):

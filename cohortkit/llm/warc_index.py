@@ -172,7 +172,7 @@ def with_response(pages: DataFrame, how: Warc = Warc(), id_col: str = "page_id",
     src = src.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
     last = stage(src.filter(F.octet_length("html") >= how.min_payload).groupBy(F.col("sha").alias("_sha"))
                  .agg(F.max("page_id").alias("_last")), "warc-last")
-    return src.join(last, F.col("sha") == F.col("_sha"), "left").select(
+    return src.join(last.hint("merge"), F.col("sha") == F.col("_sha"), "left").select(
         "page_id", "url", "html", "sha", F.when(F.col("_last") != F.col("page_id"), F.col("_last")).alias("refers_to"))
 
 
