@@ -1,6 +1,6 @@
 """Registered queries: each a Spark plan over the test tables plus its DuckDB oracle.
 
-``spark_queries()[name](spark, sf_dir)`` returns a lazy DataFrame;
+``spark_queries()[name](spark, sf_dir)`` returns a DataFrame (building it may store stage tables);
 ``oracle_queries()[name]`` the equivalent SQL over the pre-registered test
 tables.  Doubles computed by aggregates are rounded to 6 places on both sides
 before comparison.  Every query reads whole tables; none caps rows.
@@ -9,6 +9,7 @@ before comparison.  Every query reads whole tables; none caps rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,14 @@ def _run(spark: SparkSession, sf: str, cfg: RunConfig = CFG, source: str = "w1")
     """
     if source == "w1":
         wide = wide_view(spark, sf)
+    elif source == "w1_dated":  # text dates, some malformed: their rows are dropped
+        wide = wide_view(spark, sf).withColumn("order_date", F.when(F.col("order_id").endswith("7"), F.lit("2O26-13-4x"))
+                                               .otherwise(F.date_format("order_date", "yyyy-MM-dd")))
+    elif source == "w1_blank":  # female orders have lost their ids
+        female = F.col("customer_gender") == cfg.female_code
+        wide = wide_view(spark, sf).withColumn("order_id", F.when(~female, F.col("order_id")))
+    elif source == "w1_empty":
+        wide = wide_view(spark, sf).where(F.lit(False))
     else:
         wide = bt.build_base_table(source_views(spark, sf), cfg)
     return run_seeding(materialize(wide, f"wide-{source}"), cfg)
@@ -96,6 +105,11 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "audit_log": lambda s, d: _run(s, d).audit,
         "audit_top5": lambda s, d: audit_top(_run(s, d).audit, CFG.top_k_audit),
         "funnel_metrics": lambda s, d: _r6(_run(s, d).metrics(), ["value"]),
+        # spoilt and empty input, shift filter on
+        "normalize_text": lambda s, d: _run(s, d, source="w1_dated").cohort.stats,
+        "review_null_orders": lambda s, d: _r6(_run(s, d, source="w1_blank").signals.review.metrics, L2_DOUBLES),
+        "cohort_empty": lambda s, d: _run(s, d, source="w1_empty").cohort.ids,
+        "final_list_shift": lambda s, d: _run(s, d, replace(CFG, apply_shift_filter=True)).final,
         # the scoring run fed by the base-table build instead of the direct view
         "base_cohort_stats": lambda s, d: _run(s, d, source="base").cohort.stats,
         "base_final_list": lambda s, d: _run(s, d, source="base").final,
@@ -211,6 +225,11 @@ def oracle_queries(cfg: RunConfig = CFG) -> dict[str, str]:
         "final_list": S(["final_list"], "SELECT * FROM final_list"),
         "audit_log": S(["audit"], "SELECT * FROM audit"),
         "audit_top5": S(["audit"], top),
+        "normalize_text": S(["female_stats"], "SELECT * FROM female_stats", wide="w1_dated"),
+        "review_null_orders": S(["review_l2"], "SELECT captain_id, l2_count_f, l2_count_m, total_rides_f, total_rides_m, "
+                                               + _cols("", L2_DOUBLES) + " FROM review_l2", wide="w1_blank"),
+        "cohort_empty": S(["cohort"], "SELECT captain_id FROM cohort", wide="w1_empty"),
+        "final_list_shift": sql(replace(cfg, apply_shift_filter=True), ["final_list"], "SELECT * FROM final_list"),
         "base_cohort_stats": S(["female_stats"], "SELECT * FROM female_stats", wide="base_table"),
         "base_final_list": S(["final_list"], "SELECT * FROM final_list", wide="base_table"),
         "base_audit_log": S(["audit"], "SELECT * FROM audit", wide="base_table"),
