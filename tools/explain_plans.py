@@ -1,4 +1,4 @@
-"""Write docs/PLANS.md: formatted physical plans of the key stages (sf 0.001 by default)."""
+"""Print formatted physical plans of the key stages (sf 0.001 by default)."""
 
 from __future__ import annotations
 
@@ -48,9 +48,9 @@ def main() -> None:
     for title, df in stages.items():
         out += [f"## {title}", "", "```", plan(df).strip(), "```", ""]
     os.makedirs("docs", exist_ok=True)
-    with open("docs/PLANS.md", "w") as f:
+    with sys.stdout as f:
         f.write("\n".join(out))
-    print("wrote docs/PLANS.md")
+
 
 
 if __name__ == "__main__":
