@@ -47,10 +47,7 @@ def main() -> None:
            "AQE re-plans at run time). Stored stage tables appear as parquet scans.", ""]
     for title, df in stages.items():
         out += [f"## {title}", "", "```", plan(df).strip(), "```", ""]
-    os.makedirs("docs", exist_ok=True)
-    with sys.stdout as f:
-        f.write("\n".join(out))
-
+    print("\n".join(out))
 
 
 if __name__ == "__main__":
