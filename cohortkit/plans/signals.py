@@ -7,15 +7,16 @@ aggregate for signals 1-4 instead of one per signal (the reference counts the
 same distinct rides three times).  Signal 5 adds the captain-day cancel counts
 (max per day, then sum: two partial aggregates).
 
-Thresholds are nearest-rank quantiles (``operators.quantile``) embedded as
-scalar subqueries, so every frame here stays lazy and nothing is collected.
+Thresholds are nearest-rank quantiles (``operators.quantile``), all of them
+found in one plan over the facts (``thresholds``) and embedded as scalar
+subqueries on its one row, so nothing is collected.
 Each signal returns ``(metrics, flagged)``; the audit log is built from the
 ``flagged`` frames, so a rule is written once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,7 @@ from ..config import RunConfig
 from ..functions import safe_ratio
 from ..session import materialize
 from ..operators import (breach, cap_at, floor_at, lower_tail, max_then_sum, pivot_segments, quantile_col,
-                         upper_tail, vote_count)
+                         quantile_row, upper_tail, vote_count)
 from .cohort import FEMALE, MALE, SEG, SEGMENTS
 
 KEY = "captain_id"
@@ -50,9 +51,9 @@ def tier_col(tier: str) -> str:
     return f"tier_{tier}_rows"
 
 
-def calls_cap(orders: DataFrame, cfg: RunConfig) -> Column:
+def calls_cap(orders: DataFrame, cfg: RunConfig, materialize: bool = False) -> Column:
     """p99 (nearest rank) of non-null call counts; 0.0 when there is none."""
-    return F.coalesce(quantile_col(orders, CALLS, cfg.q_calls_cap), F.lit(0.0))
+    return F.coalesce(quantile_col(orders, CALLS, cfg.q_calls_cap, materialize=materialize), F.lit(0.0))
 
 
 def gender_facts(orders: DataFrame, cfg: RunConfig, cap: Column | None = None) -> DataFrame:
@@ -122,24 +123,22 @@ def sig_ticket(facts: DataFrame, cfg: RunConfig) -> Signal:
 
 # ---- Signal 3: reviews -----------------------------------------------------
 
-def review_l2(facts: DataFrame, cfg: RunConfig) -> tuple[DataFrame, Column]:
-    """L2 rate per gender, captains with >= 1 L2 from each gender, and the p95 cut."""
+def review_l2(facts: DataFrame, cfg: RunConfig) -> DataFrame:
+    """L2 rate per gender of captains with >= 1 L2 from each gender."""
     l2f = F.coalesce(F.col(f"l2_rows_{FEMALE}"), F.lit(0))
     l2m = F.coalesce(F.col(f"l2_rows_{MALE}"), F.lit(0))
     rate_f = safe_ratio(l2f, F.col(f"rides_{FEMALE}"))
     rate_m = safe_ratio(l2m, F.col(f"rides_{MALE}"))
-    m = (facts.select(KEY, l2f.alias("l2_count_f"), l2m.alias("l2_count_m"),
-                      F.col(f"rides_{FEMALE}").alias("total_rides_f"), F.col(f"rides_{MALE}").alias("total_rides_m"),
-                      rate_f.alias("l2_rate_f"), rate_m.alias("l2_rate_m"))
-         .withColumn("rate_diff", F.col("l2_rate_f") - F.col("l2_rate_m"))
-         .where((F.col("l2_count_f") >= 1) & (F.col("l2_count_m") >= 1)))
-    p95 = F.coalesce(quantile_col(m, "rate_diff", cfg.q_review), F.lit(cfg.review_default))
-    return m, p95
-
-
-def sig_review(facts: DataFrame, cfg: RunConfig) -> Signal:
-    l2, p95 = review_l2(facts, cfg)
-    l2_flag = l2.where(F.col("rate_diff") >= p95).select(KEY, "rate_diff")
+    return (facts.select(KEY, l2f.alias("l2_count_f"), l2m.alias("l2_count_m"),
+                         F.col(f"rides_{FEMALE}").alias("total_rides_f"), F.col(f"rides_{MALE}").alias("total_rides_m"),
+                         rate_f.alias("l2_rate_f"), rate_m.alias("l2_rate_m"))
+            .withColumn("rate_diff", F.col("l2_rate_f") - F.col("l2_rate_m"))
+            .where((F.col("l2_count_f") >= 1) & (F.col("l2_count_m") >= 1)))
+
+
+def sig_review(facts: DataFrame, cfg: RunConfig, cuts: DataFrame) -> Signal:
+    l2, cut = review_l2(facts, cfg), columns_of(cuts, "p95_l2_threshold")
+    l2_flag = l2.where(F.col("rate_diff") >= cut["p95_l2_threshold"]).select(KEY, "rate_diff")
     per = (facts.select(KEY, _both("l0_rows").alias("l0_count"),
                         F.coalesce(F.col(f"l1_rows_{FEMALE}"), F.lit(0)).alias("l1_female_count"))
            .join(l2_flag, KEY, "left"))
@@ -147,7 +146,7 @@ def sig_review(facts: DataFrame, cfg: RunConfig) -> Signal:
                .withColumn("flag_l1", F.col("l1_female_count") > 0)
                .withColumn("flag_l2", F.col("rate_diff").isNotNull())
                .where(F.col("flag_l0") | F.col("flag_l1") | F.col("flag_l2")))
-    return Signal(metrics=l2, flagged=flagged, thresholds={"p95_l2_threshold": p95})
+    return Signal(metrics=l2, flagged=flagged, thresholds=cut)
 
 
 # ---- Signal 4: calls -------------------------------------------------------
@@ -171,19 +170,15 @@ def calls_metrics(facts: DataFrame, cfg: RunConfig) -> DataFrame:
                                           F.col("cv_m") - F.col("cv_f"))))
 
 
-def sig_calls(facts: DataFrame, cfg: RunConfig) -> Signal:
+def sig_calls(facts: DataFrame, cfg: RunConfig, cuts: DataFrame) -> Signal:
     m = calls_metrics(facts, cfg)
-    t_rate = floor_at(quantile_col(m, "call_rate_diff", cfg.q_calls), cfg.floor_rate)
-    t_vol = floor_at(quantile_col(m, "calls_diff", cfg.q_calls), cfg.floor_vol)
-    t_cv = floor_at(quantile_col(m, "cv_diff", cfg.q_calls), cfg.floor_cv)
-    scored = (m.withColumn("f1", breach(F.col("call_rate_diff"), t_rate))
-              .withColumn("f2", breach(F.col("calls_diff"), t_vol))
-              .withColumn("f3", breach(F.col("cv_diff"), t_cv))
+    cut = columns_of(cuts, "call_rate_threshold", "calls_diff_threshold", "cv_diff_threshold")
+    scored = (m.withColumn("f1", breach(F.col("call_rate_diff"), cut["call_rate_threshold"]))
+              .withColumn("f2", breach(F.col("calls_diff"), cut["calls_diff_threshold"]))
+              .withColumn("f3", breach(F.col("cv_diff"), cut["cv_diff_threshold"]))
               .withColumn("breaches", vote_count([F.col("f1"), F.col("f2"), F.col("f3")])))
     flagged = scored.where(F.col("breaches") >= cfg.votes_needed)
-    return Signal(metrics=m, flagged=flagged,
-                  thresholds={"call_rate_threshold": t_rate, "calls_diff_threshold": t_vol,
-                              "cv_diff_threshold": t_cv})
+    return Signal(metrics=m, flagged=flagged, thresholds=cut)
 
 
 # ---- Signal 5: cancellations ------------------------------------------------
@@ -209,17 +204,41 @@ def cancel_metrics(facts: DataFrame, cfg: RunConfig) -> DataFrame:
             .withColumn("diff", F.col("rate_f") - F.col("rate_m")))
 
 
-def sig_cancel(facts: DataFrame, cfg: RunConfig) -> Signal:
+def sig_cancel(facts: DataFrame, cfg: RunConfig, cuts: DataFrame) -> Signal:
     m = cancel_metrics(facts, cfg)
-    p98 = F.coalesce(quantile_col(m, "diff", cfg.q_cancel_hi), F.lit(cfg.cancel_hi_default))
-    p02 = F.coalesce(quantile_col(m, "diff", cfg.q_cancel_lo), F.lit(cfg.cancel_lo_default))
-    upper, lower = upper_tail(p98), lower_tail(p02)
+    cut = columns_of(cuts, "p98_threshold", "p02_threshold", "upper_used", "lower_used")
+    upper, lower = cut["upper_used"], cut["lower_used"]
     flagged = (m.where((F.col("diff") >= upper) | (F.col("diff") <= lower))
                .withColumn("direction", F.when(F.col("diff") >= upper, F.lit("avoids_female"))
                            .otherwise(F.lit("avoids_male"))))
-    return Signal(metrics=m, flagged=flagged,
-                  thresholds={"p98_threshold": p98, "p02_threshold": p02, "upper_used": upper,
-                              "lower_used": lower})
+    return Signal(metrics=m, flagged=flagged, thresholds=cut)
+
+
+# ---- thresholds ---------------------------------------------------------------
+
+def columns_of(row: DataFrame, *names: str) -> dict:
+    """Columns of a one-row frame as scalar subqueries."""
+    return {n: row.select(n).scalar() for n in names}
+
+
+def thresholds(facts: DataFrame, cfg: RunConfig, materialize: bool = False) -> DataFrame:
+    """One row with every threshold of signals 3-5, their quantiles found in one plan."""
+    row = quantile_row(
+        [(review_l2(facts, cfg), {"review": "rate_diff"}),
+         (calls_metrics(facts, cfg), {"rate": "call_rate_diff", "vol": "calls_diff", "cv": "cv_diff"}),
+         (cancel_metrics(facts, cfg), {"cancel": "diff"})],
+        {"review": ("review", cfg.q_review), "rate": ("rate", cfg.q_calls), "vol": ("vol", cfg.q_calls),
+         "cv": ("cv", cfg.q_calls), "high": ("cancel", cfg.q_cancel_hi), "low": ("cancel", cfg.q_cancel_lo)},
+        materialize)
+    cuts = row.select(
+        F.coalesce("review", F.lit(cfg.review_default)).alias("p95_l2_threshold"),
+        floor_at(F.col("rate"), cfg.floor_rate).alias("call_rate_threshold"),
+        floor_at(F.col("vol"), cfg.floor_vol).alias("calls_diff_threshold"),
+        floor_at(F.col("cv"), cfg.floor_cv).alias("cv_diff_threshold"),
+        F.coalesce("high", F.lit(cfg.cancel_hi_default)).alias("p98_threshold"),
+        F.coalesce("low", F.lit(cfg.cancel_lo_default)).alias("p02_threshold"))
+    return cuts.withColumns({"upper_used": upper_tail(F.col("p98_threshold")),
+                             "lower_used": lower_tail(F.col("p02_threshold"))})
 
 
 class SignalSet:
@@ -236,21 +255,20 @@ class SignalSet:
 
     @cached_property
     def calls_cap(self) -> Column:
-        return calls_cap(self.orders, self.cfg)
+        return calls_cap(self.orders, self.cfg, self.materialize)
 
     @cached_property
     def facts(self) -> DataFrame:
         f = captain_facts(self.orders, self.cfg, self.calls_cap).join(cancel_sums(self.orders), KEY, "left")
         return materialize(f, "captain-facts") if self.materialize else f
 
+    @cached_property
+    def cuts(self) -> DataFrame:
+        return thresholds(self.facts, self.cfg, self.materialize)
+
     def _stored(self, sig: Signal, label: str) -> Signal:
-        """Store a thresholded flagged set (small, per captain) and its thresholds (one row)."""
-        if not self.materialize:
-            return sig
-        one = self.facts.agg(F.count(F.lit(1)).alias("n"))
-        row = materialize(one.select(*[c.alias(n) for n, c in sig.thresholds.items()]), f"{label}-thresholds")
-        return Signal(metrics=sig.metrics, flagged=materialize(sig.flagged, label),
-                      thresholds={n: row.select(n).scalar() for n in sig.thresholds})
+        """Store a thresholded flagged set (small, per captain)."""
+        return replace(sig, flagged=materialize(sig.flagged, label)) if self.materialize else sig
 
     @cached_property
     def chat(self) -> Signal:
@@ -262,15 +280,15 @@ class SignalSet:
 
     @cached_property
     def review(self) -> Signal:
-        return self._stored(sig_review(self.facts, self.cfg), "flagged-review")
+        return self._stored(sig_review(self.facts, self.cfg, self.cuts), "flagged-review")
 
     @cached_property
     def calls(self) -> Signal:
-        return self._stored(sig_calls(self.facts, self.cfg), "flagged-calls")
+        return self._stored(sig_calls(self.facts, self.cfg, self.cuts), "flagged-calls")
 
     @cached_property
     def cancel(self) -> Signal:
-        return self._stored(sig_cancel(self.facts, self.cfg), "flagged-cancel")
+        return self._stored(sig_cancel(self.facts, self.cfg, self.cuts), "flagged-cancel")
 
     def ids(self) -> dict[str, DataFrame]:
         """Flagged captain ids per signal, in the risk-master column order."""

@@ -45,7 +45,7 @@ def test_text_dates_are_pushed_and_read_leniently(spark, tmp_path):
 def test_review_rate_without_order_ids(spark):
     facts = spark.createDataFrame([("c1", 2, 3, 0, 4), ("c2", 1, 1, 2, 2)],
                                   "captain_id string, l2_rows_Female long, l2_rows_Male long, rides_Female long, rides_Male long")
-    rates = {r.captain_id: (r.l2_rate_f, r.l2_rate_m) for r in review_l2(facts, fixture_config())[0].collect()}
+    rates = {r.captain_id: (r.l2_rate_f, r.l2_rate_m) for r in review_l2(facts, fixture_config()).collect()}
     assert rates == {"c1": (0.0, 0.75), "c2": (0.5, 0.5)}
 
 
