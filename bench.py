@@ -3,7 +3,7 @@
 Each query is timed end to end (plan build + stage tables + result), in a
 fresh run, so no query reuses another's stored tables.  ``full_run`` is the
 whole job: cohort, five signals, feedback rules, final list and audit log,
-written as CSV to a scratch folder.
+written as CSV to a scratch folder, and the run's metrics.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ def main() -> None:
     t = time.time()
     run = _run(spark, sf_dir)
     write_outputs(run, out)
+    run.metrics().collect()
     times["full_run"] = round(time.time() - t, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",

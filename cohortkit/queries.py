@@ -8,6 +8,7 @@ before comparison.  Every query reads whole tables; none caps rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -18,8 +19,9 @@ from .config import RunConfig, fixture_config
 from .oracle.pipeline_sql import r6, service_case, sql
 from .plans import base_table as bt
 from .plans.seeding import audit_top, run_seeding
-from .session import materialize, use_scratch_checkpoint_dir
+from .session import checkpoint_dir, materialize, use_scratch_checkpoint_dir
 from .sources.fixtures import source_views, wide_view
+from .sources.sinks import write_outputs
 
 CFG: RunConfig = fixture_config()
 
@@ -67,6 +69,14 @@ def _thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return r.cohort.ids.agg(F.count(F.lit(1)).alias("_n")).select(F.inline(arr))
 
 
+def _sink(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """An output of the run as its CSV sink wrote it, read back with the output's types."""
+    run = _run(spark, sf)
+    paths = write_outputs(run, f"{checkpoint_dir(spark).rstrip('/')}/cohortkit/sinks-{uuid.uuid4().hex}")
+    frame = {"final": run.final, "risk": run.risky, "seed": run.seed, "audit": run.audit}[name]
+    return spark.read.option("header", True).schema(frame.schema).csv(paths[name])
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     src = source_views
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -110,6 +120,9 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "review_null_orders": lambda s, d: _r6(_run(s, d, source="w1_blank").signals.review.metrics, L2_DOUBLES),
         "cohort_empty": lambda s, d: _run(s, d, source="w1_empty").cohort.ids,
         "final_list_shift": lambda s, d: _run(s, d, replace(CFG, apply_shift_filter=True)).final,
+        # the CSV sinks, written and read back
+        "sink_final_list": lambda s, d: _sink(s, d, "final"),
+        "sink_risk_master": lambda s, d: _sink(s, d, "risk"),
         # the scoring run fed by the base-table build instead of the direct view
         "base_cohort_stats": lambda s, d: _run(s, d, source="base").cohort.stats,
         "base_final_list": lambda s, d: _run(s, d, source="base").final,
@@ -230,6 +243,8 @@ def oracle_queries(cfg: RunConfig = CFG) -> dict[str, str]:
                                                + _cols("", L2_DOUBLES) + " FROM review_l2", wide="w1_blank"),
         "cohort_empty": S(["cohort"], "SELECT captain_id FROM cohort", wide="w1_empty"),
         "final_list_shift": sql(replace(cfg, apply_shift_filter=True), ["final_list"], "SELECT * FROM final_list"),
+        "sink_final_list": S(["final_list"], "SELECT * FROM final_list"),
+        "sink_risk_master": S(["risk_master"], "SELECT * FROM risk_master"),
         "base_cohort_stats": S(["female_stats"], "SELECT * FROM female_stats", wide="base_table"),
         "base_final_list": S(["final_list"], "SELECT * FROM final_list", wide="base_table"),
         "base_audit_log": S(["audit"], "SELECT * FROM audit", wide="base_table"),
