@@ -12,7 +12,8 @@ curve; a document's place is its file's offset plus its row in the file.
 Scale.  One aggregate for the quantiles, one range shuffle of the documents, one
 write.  The sort key ends with the id, so a cell that holds a third of all rows
 still spreads over many files.  What reaches the driver is the quantiles (at most
-2 ** bits a dimension); offsets are sums over files, joined as a table.
+2 ** bits a dimension); offsets are sums over files, broadcast with one row a file
+(``write_curve`` makes at most ``files``), so the texts move once.
 
 Defined results: a null in a dimension sorts before every value; a null text has
 size 1 and the crc of no bytes; equal rows sit side by side; an empty table has
@@ -114,7 +115,8 @@ def read_shards(spark, path: str, n_shards: int) -> DataFrame:
     each, more = F.expr(f"_all div {n_shards}"), F.col("_all") % n_shards  # the first `more` shards have one row more
     wide = more * (each + 1)
     shard = F.when(rank < wide, F.floor(rank / (each + 1))).otherwise(more + F.floor((rank - wide) / F.greatest(each, F.lit(1))))
-    rows = rows.join(size, F.col("_file") == F.col("_f")).withColumn("_rank", rank).withColumn("shard", shard.cast("int"))
+    # a row a file, and write_curve makes one file a range: bounded by its ``files``, so the texts are not shuffled again
+    rows = rows.join(F.broadcast(size), F.col("_file") == F.col("_f")).withColumn("_rank", rank).withColumn("shard", shard.cast("int"))
     start = F.col("shard") * each + F.least(F.col("shard").cast("long"), more)
     return rows.withColumn("slot", (F.col("_rank") - start).cast("long")).select(*names, "shard", "slot")
 
