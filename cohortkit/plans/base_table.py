@@ -67,6 +67,11 @@ def captain_base(olf: DataFrame) -> DataFrame:
     return olf.select("captain_id").where(F.col("captain_id").isNotNull()).distinct()
 
 
+def captain_days(olf: DataFrame) -> DataFrame:
+    """(captain, day) pairs of the order log."""
+    return olf.select("captain_id", "yyyymmdd").where(F.col("captain_id").isNotNull()).distinct()
+
+
 def latest_service(src: Sources, base: DataFrame) -> DataFrame:
     """Latest service-names row per captain (ranked before the class filter) and its class."""
     t2 = src["t2"].withColumnRenamed("riderinfo__userid", "captain_id")
@@ -184,20 +189,31 @@ def feedback_merge(src: Sources, cfg: RunConfig) -> DataFrame:
     )
 
 
+def captain_day_facts(src: Sources, olf: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Mapping and cancel counts of every (captain, day) of the order log whose captain is mapped."""
+    days = materialize(captain_days(olf), "captain-days")
+    cm = captain_mapping(src, days, cfg)
+    oc = cancel_counts(src, cfg)
+    d = days.join(cm, days.captain_id == cm.cm_captain_id, "inner").drop("cm_captain_id")
+    d = d.join(oc, (d.captain_id == oc.ocara_captain_id) & (d.yyyymmdd == oc.ocara_yyyymmdd), "left")
+    return (d.drop("ocara_captain_id", "ocara_yyyymmdd")
+            .withColumnsRenamed({"captain_id": "cf_captain_id", "yyyymmdd": "cf_yyyymmdd"}))
+
+
 def build_base_table(src: Sources, cfg: RunConfig) -> DataFrame:
     """The 33-column order-grain table (+ ``mobile``).
 
-    The captain mapping is stored: the join of the order log with it then has a
-    plain shuffle on both sides, which adaptive execution can split for a hot captain.
+    Captain mapping and cancel counts meet at the narrow (captain, day) grain, so
+    the order rows are shuffled for both at once, and a hot captain by its days.
+    That table is stored: the join with it has a plain shuffle on both sides,
+    which adaptive execution can split further.
     """
     olf = order_scope(src, cfg)
-    cm = materialize(captain_mapping(src, olf, cfg), "captain-mapping")
-    oc = cancel_counts(src, cfg)
+    cf = materialize(captain_day_facts(src, olf, cfg), "captain-day-facts")
     cd = calls_per_order(src, cfg)
     tl = text_labels(src, cfg)
     nf = feedback_merge(src, cfg)
-    w = olf.join(cm, olf.captain_id == cm.cm_captain_id, "inner").drop("cm_captain_id")
-    w = w.join(oc, (w.captain_id == oc.ocara_captain_id) & (w.yyyymmdd == oc.ocara_yyyymmdd), "left")
+    w = olf.join(cf, (olf.captain_id == cf.cf_captain_id) & (olf.yyyymmdd == cf.cf_yyyymmdd), "inner")
     w = w.join(cd, w.order_id == cd.cd_order_id, "left")
     w = w.join(nf, w.order_id == nf.newfeedback_order_id, "left")
     tl = tl.withColumnsRenamed({"order_id": "tl_order_id", "captain_id": "tl_captain_id"})

@@ -118,3 +118,27 @@ def test_sinks_write_tagged_sorted_outputs(spark, tmp_path):
     assert final == sorted(final) and len(final) == r.final.count()
     risk = [int(x.total_signals) for x in spark.read.option("header", True).csv(paths["risk"]).collect()]
     assert risk == sorted(risk, reverse=True)
+
+
+def test_base_table_shuffles_order_rows_three_times(spark):
+    """Without broadcasts the order rows move by (captain, day), by order, and by (order, captain) only."""
+    import contextlib
+    import io
+    import re
+
+    from cohortkit.config import fixture_config
+    from cohortkit.plans import base_table as bt
+    from cohortkit.sources.fixtures import source_views
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    buf = io.StringIO()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = bt.build_base_table(source_views(spark, SF_SMALL), fixture_config())
+        with contextlib.redirect_stdout(buf):
+            df.explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    wide = re.findall(r"\) Exchange\nInput \[\d+\]: (\[.*customer_rated_epoch.*\])\nArguments: (\w+\([^)]*\))", buf.getvalue())
+    assert len(wide) == 3, [a for _, a in wide]
+    assert "captain_id" in wide[0][1] and "yyyymmdd" in wide[0][1]
