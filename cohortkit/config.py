@@ -155,7 +155,8 @@ class RunConfig:
     @property
     def run_tag(self) -> str:
         """``ddmonyyyy`` lower case, e.g. ``01jan2000``."""
-        return self.as_of.strftime("%d%b%Y").lower()
+        months = "jan feb mar apr may jun jul aug sep oct nov dec".split()  # not strftime's %b, which follows the locale
+        return f"{self.as_of.day:02d}{months[self.as_of.month - 1]}{self.as_of.year}"
 
     def with_(self, **kw) -> "RunConfig":
         return replace(self, **kw)

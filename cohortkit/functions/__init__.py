@@ -1,7 +1,7 @@
 """Scalar column helpers."""
 
-from .columns import (day_string, first_match, isin_ci, lenient_double, lenient_int, lenient_timestamp,
-                      run_tag, safe_ratio, ts_lit)
+from .columns import (first_match, isin_ci, lenient_double, lenient_int, lenient_timestamp,
+                      safe_ratio, ts_lit)
 
-__all__ = ["day_string", "first_match", "isin_ci", "lenient_double", "lenient_int", "lenient_timestamp",
-           "run_tag", "safe_ratio", "ts_lit"]
+__all__ = ["first_match", "isin_ci", "lenient_double", "lenient_int", "lenient_timestamp",
+           "safe_ratio", "ts_lit"]

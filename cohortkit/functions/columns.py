@@ -53,15 +53,6 @@ def lenient_timestamp(c: Column, string_input: bool) -> Column:
     return c.cast("timestamp_ntz")
 
 
-def day_string(d: dt.date) -> str:
-    return d.strftime("%Y%m%d")
-
-
 def ts_lit(d: dt.date) -> Column:
     """Midnight of ``d`` as a ``timestamp_ntz`` literal."""
     return F.lit(d.strftime("%Y-%m-%d 00:00:00")).cast("timestamp_ntz")
-
-
-def run_tag(d: Column) -> Column:
-    """``ddmonyyyy`` lower case of a date column."""
-    return F.lower(F.date_format(d, "ddMMMyyyy"))

@@ -14,11 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ids_where(df: DataFrame, key: str, cond: Column) -> DataFrame:
-    """Distinct ``key`` values of the rows where ``cond`` holds."""
-    return df.where(cond).select(key).where(F.col(key).isNotNull()).distinct()
-
-
 def keep(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids`` (left semi join)."""
     return df.join(ids.select(key), key, "left_semi")

@@ -1,4 +1,4 @@
-"""Two-segment statistics: conditional counts, segment pivots, two-level sums.
+"""Two-segment statistics: segment pivots, two-level sums.
 
 The reference pivots long ``(captain, gender, value)`` frames to wide
 ``value_Female`` / ``value_Male`` columns.  Here a segment pivot is one
@@ -8,30 +8,12 @@ for a missing segment kept (a count over no rows is null, not 0).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def code_label(code: Column, labels: Mapping[int, str], default: str | None = None) -> Column:
-    """Map integer codes to labels (``CASE WHEN gender = 0 THEN 'Male' ...``)."""
-    expr = None
-    for k, v in labels.items():
-        expr = (F.when(code == k, F.lit(v)) if expr is None else expr.when(code == k, F.lit(v)))
-    return expr.otherwise(F.lit(default)) if default is not None else expr
-
-
-def binary_segment(code: Column, positive_code: int, positive: str, negative: str) -> Column:
-    """``when(code == positive_code, positive).otherwise(negative)`` (null codes fall to negative)."""
-    return F.when(code == positive_code, F.lit(positive)).otherwise(F.lit(negative))
-
-
-def cond_counts(df: DataFrame, keys: Sequence[str], conds: Mapping[str, Column]) -> DataFrame:
-    """``SUM(CASE WHEN cond THEN 1 ELSE 0 END)`` per group, one column per condition."""
-    return df.groupBy(*keys).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in conds.items()])
-
-
 def pivot_segments(long: DataFrame, key: str, segment: str, segments: Mapping[str, str],
                    values: Sequence[str], fill: Mapping[str, object] | None = None) -> DataFrame:
     """Long ``(key, segment, values...)`` -> one row per key with ``value_suffix`` columns.
@@ -52,11 +34,6 @@ def pivot_segments(long: DataFrame, key: str, segment: str, segments: Mapping[st
     return long.groupBy(key).agg(*aggs)
 
 
-def segment_stats(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column]) -> DataFrame:
-    """Per-group metrics (any aggregate expressions) -- the long side of a pivot."""
-    return df.groupBy(*keys).agg(*[m.alias(n) for n, m in metrics.items()])
-
-
 def max_then_sum(df: DataFrame, key: str, sub_key: str | Sequence[str], cols: Mapping[str, str],
                  fill: object = 0) -> DataFrame:
     """Undo values repeated on every row of a ``(key, sub_key)`` group, then add up.
@@ -68,6 +45,3 @@ def max_then_sum(df: DataFrame, key: str, sub_key: str | Sequence[str], cols: Ma
     sub = [sub_key] if isinstance(sub_key, str) else list(sub_key)
     daily = df.groupBy(key, *sub).agg(*[F.max(F.coalesce(F.col(c), F.lit(fill))).alias(o) for o, c in cols.items()])
     return daily.groupBy(key).agg(*[F.sum(o).alias(o) for o in cols])
-
-
-MetricFn = Callable[[Column], Column]
