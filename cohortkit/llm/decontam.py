@@ -38,6 +38,7 @@ from .common import pieces, stage
 SEAM = 0x110000  # no character: parts texts that are scanned together
 MULT = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 22
+SHARED = 4_000_000  # shared q-grams held at once
 
 
 @dataclass(frozen=True)
@@ -136,6 +137,19 @@ class Patterns:
         t[(self.grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         return t
 
+    def bands(self, pos: np.ndarray, g: np.ndarray):
+        """(band keys, shared q-grams in each) of text positions ``pos`` that hold the q-grams numbered ``g``."""
+        times = self.count[g]
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        hit = np.repeat(self.first[g], times) + inside
+        owner = self.owner[hit].astype(np.int64)
+        diag = np.repeat(pos, times) - self.at[hit]
+        half = self.k[owner] + 1
+        band = diag // half + 1  # may start one half band before the text
+        both = np.concatenate([owner * (1 << 40) + band, owner * (1 << 40) + band - 1 + (1 << 20)])
+        both[len(owner):] -= 1 << 20
+        return np.unique(both, return_counts=True)
+
     def scan(self, c: np.ndarray, table: np.ndarray):
         """(pattern, band start diagonal) candidates: bands that hold enough shared q-grams."""
         h = gram_hashes(c, self.q)
@@ -146,16 +160,15 @@ class Patterns:
         g[g == len(self.grams)] = 0
         ok = self.grams[g] == h[pos]
         pos, g = pos[ok], g[ok]
-        times = self.count[g]
-        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        hit = np.repeat(self.first[g], times) + inside
-        owner = self.owner[hit].astype(np.int64)
-        diag = np.repeat(pos, times) - self.at[hit]
-        half = self.k[owner] + 1
-        band = diag // half + 1  # may start one half band before the text
-        both = np.concatenate([owner * (1 << 40) + band, owner * (1 << 40) + band - 1 + (1 << 20)])
-        both[len(owner):] -= 1 << 20
-        both, n = np.unique(both, return_counts=True)
+        both, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        upto = np.cumsum(self.count[g])
+        a = 0
+        while a < len(pos):  # so many shared q-grams at a time, however often one repeats in text and patterns
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SHARED, side="right")))
+            more, times = self.bands(pos[a:b], g[a:b])
+            both, at = np.unique(np.concatenate([both, more]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, times]), len(both)).astype(np.int64)
+            a = b
         owner, band = both >> 40, both & ((1 << 40) - 1)
         good = n >= self.need[owner]
         owner, band = owner[good], band[good]
@@ -178,8 +191,11 @@ def banded(patterns: list[np.ndarray], c: np.ndarray, starts: np.ndarray, widths
     drop = np.full_like(cost, big)
     for i in range(longest):
         drop[:, :-1] = cost[:, 1:] + 1  # pattern character left out
-        step = np.minimum(cost + (padded[np.minimum(at + i, len(padded) - 1)] != text[:, i, None]), drop) - lanes
-        step = np.minimum.accumulate(step, axis=1) + lanes  # document characters put in
+        char = padded[np.minimum(at + i, len(padded) - 1)]
+        seam = char == SEAM  # no stretch runs over the end of its text
+        put = np.cumsum(np.where(seam, big, 1), axis=1)
+        step = np.minimum(cost + np.where(seam, big, char != text[:, i, None]), drop) - put
+        step = np.minimum.accumulate(step, axis=1) + put  # document characters put in
         step[lanes >= widths[:, None]] = big
         cost = np.where((i < sizes)[:, None], step, cost)
     best = cost.argmin(axis=1)

@@ -264,6 +264,29 @@ def test_decontamination_edits_and_cases(spark, odd, empty):
     assert decontam.drop_leaks(odd, bench.limit(0)).columns == odd.columns
 
 
+def test_decontamination_counts_in_parts(monkeypatch):
+    rnd = random.Random(11)
+    item = "".join(rnd.choice("abcdefgh ") for _ in range(260))
+    patterns = decontam.Patterns([(1, "ab" * 200), (2, item)], decontam.Decontam())
+    texts = ["ab" * 30_000, "x" + item[:150] + "ab" * 90, "nothing of it " * 50]
+    found = []
+    for held in (10 ** 9, 1_000, 1):  # one position at a time at the least
+        monkeypatch.setattr(decontam, "SHARED", held)
+        found.append(sorted(decontam.leaks(patterns, patterns.table(), texts if held > 1 else texts[1:], 0 if held > 1 else 1)))
+    assert found[0] == found[1] and {(r[0], r[1]) for r in found[0]} == {(0, 1), (1, 1), (1, 2)}
+    assert found[2] == [r for r in found[0] if r[0] > 0]
+
+
+def test_decontamination_stays_inside_a_text():
+    rnd = random.Random(3)
+    item = "".join(rnd.choice("abcdefgh ") for _ in range(100))
+    patterns = decontam.Patterns([(1, item)], decontam.Decontam())
+    for lead in range(25):  # the bands' borders fall everywhere
+        for cut in (1, 5, 9):
+            texts = ["z" * lead + item[:-cut], "clean " * 30, item[cut:] + "z", "clean " * 30, item[:50], item[50:]]
+            assert {r[0] for r in decontam.leaks(patterns, patterns.table(), texts)} == {0, 2}
+
+
 def test_banded_equals_full_alignment():
     rnd = random.Random(9)
     for _ in range(30):
