@@ -4,8 +4,15 @@ Native throughout.  Token counts are summed by (source, language, topic) cell.
 The cell weights are raked: scaled to the source targets, then the language
 targets, then the topic targets, over and over, until all three marginals hold.
 A document's inclusion probability is its cell's raked weight over its tokens'
-share, scaled so that the largest is 1, and it stays if a hash of its id falls
-below.  Expected token shares among the kept are then the targets.
+share, scaled to a kept share of all tokens, and it stays if a hash of its id
+falls below.  Expected token shares among the kept are then the targets.
+
+The kept share is as large as the raked cells allow, where cells with the largest
+ratios that hold at most ``at_bound`` of the raked weight together do not set the
+scale, and never below ``min_kept``.  No probability exceeds 1: a category whose
+target asks for more tokens than it has keeps all of them and the others of its
+dimension take up the rest, a cell at the bound keeps everything, and the other
+cells are raked again.  So one rare category cannot thin out the whole corpus.
 
 Targets: a share for named categories (``Mix.targets``), the rest of the mass by
 ``share ** temperature`` of the corpus's own shares (1 keeps them, 0 is flat).
@@ -50,6 +57,8 @@ class Mix:
     targets: dict = field(default_factory=dict)  # {dim: {category: share}}
     max_categories: int = 256
     sweeps: int = 12
+    min_kept: float = 0.4  # share of all tokens
+    at_bound: float = 0.02  # share of the raked weight
     seed: str = "mix-1"
 
 
@@ -77,7 +86,7 @@ def pooled(cells: DataFrame, dim: str, most: int) -> DataFrame:
 def rake(cells: DataFrame, how: Mix) -> DataFrame:
     """``cells`` (source, lang, topic, tokens > 0) with raked ``weight`` (sums to 1) and inclusion ``prob``.
 
-    Runs on one bounded partition: no window below needs an exchange.
+    Runs on one bounded partition: no window needs an exchange.
     """
     c = cells.coalesce(1).withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
     for d in DIMS:
@@ -98,8 +107,38 @@ def rake(cells: DataFrame, how: Mix) -> DataFrame:
     for _ in range(how.sweeps):
         for d in DIMS:
             c = c.withColumn("weight", F.col("weight") * F.col(f"_t_{d}") / F.sum("weight").over(Window.partitionBy(d)))
-    c = c.withColumn("_r", F.col("weight") / F.col("tokens"))
-    return c.select(*DIMS, "tokens", "weight", (F.col("_r") / F.max("_r").over(Window.partitionBy())).alias("prob"))
+    return bounded(stage(c, "mix-unbounded"), how).select(*DIMS, "tokens", "weight", "prob")
+
+
+def bounded(c: DataFrame, how: Mix) -> DataFrame:
+    """Raked cells with the targets ``_t_<dim>``, raked again so that no ``prob`` exceeds 1 at the kept share."""
+    all_cells = Window.partitionBy()
+    c = c.coalesce(1).withColumn("_r", F.col("weight") / F.col("tokens"))
+    above = F.sum("weight").over(Window.partitionBy().orderBy(F.col("_r").desc()))
+    c = c.withColumn("_top", F.when(above > how.at_bound, F.col("_r")))
+    scale = F.coalesce(F.max("_top").over(all_cells), F.max("_r").over(all_cells))
+    c = c.withColumn("_all", F.sum("tokens").over(all_cells)).withColumn(
+        "_kept", F.least(F.lit(1.0), F.greatest(F.lit(how.min_kept), 1 / (scale * F.col("_all")))))
+    c = c.withColumn("_cap", F.col("tokens") / (F.col("_all") * F.col("_kept")))
+    for d in DIMS:
+        own = Window.partitionBy(d)
+        c = c.withColumn("_has", F.sum("_cap").over(own)).withColumn("_part", F.col("_cap") / F.col("_has"))
+        for _ in range(4):  # what a category lacks goes to those that have more
+            c = c.withColumn(f"_t_{d}", F.least(f"_t_{d}", "_has"))
+            free = F.when(F.col(f"_t_{d}") < F.col("_has"), F.col(f"_t_{d}")).otherwise(F.lit(0.0))
+            c = c.withColumn("_free", free)
+            lack = 1 - F.sum(F.col(f"_t_{d}") * F.col("_part")).over(all_cells)
+            grow = lack / F.sum(F.col("_free") * F.col("_part")).over(all_cells)
+            c = c.withColumn("_grow", F.when(F.col("_free") > 0, grow).otherwise(F.lit(0.0)))
+            c = c.withColumn(f"_t_{d}", F.col(f"_t_{d}") + F.col("_free") * F.col("_grow"))
+    c = stage(c.drop("_has", "_part", "_free", "_grow", "_top"), "mix-bounds").coalesce(1)
+    c = c.withColumn("weight", F.least("weight", "_cap"))
+    for _ in range(how.sweeps):
+        for d in DIMS:
+            c = c.withColumn("weight", F.least("_cap", F.col("weight") * F.col(f"_t_{d}") / F.sum("weight").over(Window.partitionBy(d))))
+    for _ in range(4):  # the kept share itself
+        c = c.withColumn("weight", F.least("_cap", F.col("weight") / F.sum("weight").over(all_cells)))
+    return c.withColumn("prob", F.least(F.lit(1.0), F.col("weight") / F.col("_cap")))
 
 
 def draw(seed: str, id_col: str = "doc_id") -> Column:

@@ -336,6 +336,16 @@ def test_mixing_meets_targets(spark, docs, odd, empty):
     assert pooled.count() == docs.count()
 
 
+def test_mixing_rare_category_does_not_set_the_scale(spark, docs):
+    plain = mixing.mix(docs).toPandas()
+    rare = spark.createDataFrame([(10 ** 6, "word " * 5, "en", None, 25)], DOCS)
+    grown = docs.withColumn("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.col("doc_id") + 10_000 * i)))
+    got = mixing.mix(grown.unionByName(rare)).toPandas()
+    assert got.prob.between(0, 1).all() and got[got.doc_id == 10 ** 6].prob.item() > 1 - 1e-6
+    share = lambda x: (x.tokens * x.prob).sum() / x.tokens.sum()
+    assert share(got) >= 0.4 - 1e-3 and abs(share(got) - share(plain)) < 0.02
+
+
 # -- 9 ------------------------------------------------------------------------
 
 def test_quality_counts_brute_force(docs, odd):
