@@ -2,7 +2,9 @@
 
 A document is contaminated by a benchmark item if some stretch of it is within
 ``edit_rate`` x length edits of one of the item's windows of ``window`` characters
-(an item that is no longer is its own window), so a part of an item is found too.
+(an item that is no longer is its own window).  Windows start every ``stride``
+characters, so each verbatim part of window + stride - 1 characters holds a whole one.
+An item shorter than ``min_item`` is searched exactly, as whole words.
 Case is folded and runs of white space count as one space on both sides.
 
 Method.  A pattern of m characters with k edits shares at least
@@ -10,22 +12,22 @@ T = m + 1 - q (k + 1) q-grams with its match, and all lie on k + 1 neighbouring
 diagonals (document position less pattern position).  Shared q-grams are counted
 in bands of 2 (k + 1) diagonals that overlap by half, so some band holds a whole
 match.  Bands that reach T are verified by an alignment confined to the band.
-Every pattern has T >= 1 (``min_item`` sees to it), so the filter loses no match.
+Every pattern has T >= 1 (``min_item`` sees to it; a short item has no edits and
+q-grams of its own length at most), so the filter loses no match.
 
 Scale.  The documents are scanned where they lie, no shuffle: per batch the
 q-gram hashes of whole texts are looked up in the patterns' table.  The patterns
-travel with the tasks in blocks of at most ``block_chars`` characters; a larger
+travel with the tasks in blocks of about ``block_chars`` characters of windows; a larger
 benchmark takes more passes over the documents, not more memory.
 
 Defined results: null or empty texts and documents shorter than any pattern
-match nothing; items that are null or shorter than ``min_item`` characters after
-folding are no evidence and are passed over (documented, not a cap); repeated
+match nothing; items that are null or empty are passed over; repeated
 items are all reported; repeated documents are reported each.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -46,6 +48,7 @@ class Decontam:
     q: int = 8
     edit_rate: float = 0.1
     window: int = 100
+    stride: int = 20
     min_item: int = 40
     block_chars: int = 4_000_000
 
@@ -92,11 +95,21 @@ def gram_hashes(c: np.ndarray, q: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def windows(n: int, window: int) -> list[tuple[int, int]]:
-    """Windows that cover the item, the last one flush with its end; a shorter item is one window."""
+def windows(n: int, window: int, stride: int) -> list[tuple[int, int]]:
+    """Overlapping windows over the item, the last one flush with its end; a shorter item is one window."""
     if n <= window:
         return [(0, n)]
-    return [(a, a + window) for a in [*range(0, n - window, window), n - window]]
+    return [(a, a + window) for a in [*range(0, n - window, stride), n - window]]
+
+
+def by_gram(items: list[tuple[object, str]], how: Decontam) -> list[Patterns]:
+    """Patterns of the items, a table for each q-gram size: ``q``, or the length of a shorter item."""
+    sizes: dict = {}
+    for item, raw in items:
+        n = len(fold(raw.strip()))
+        if n:
+            sizes.setdefault(min(how.q, n), []).append((item, raw))
+    return [Patterns(some, replace(how, q=q)) for q, some in sorted(sizes.items())]
 
 
 class Patterns:
@@ -104,14 +117,16 @@ class Patterns:
 
     def __init__(self, items: list[tuple[object, str]], how: Decontam):
         self.q = how.q
-        self.item, self.offset, self.text, self.k, self.need = [], [], [], [], []
+        self.item, self.offset, self.text, self.k, self.need, self.whole = [], [], [], [], [], []
         grams, owner, at = [], [], []
         for item, raw in items:
             c = fold(raw.strip())
-            if len(c) < how.min_item:
-                continue
-            for a, b in windows(len(c), how.window):
-                k = int(how.edit_rate * (b - a))
+            seen = set()
+            for a, b in windows(len(c), how.window, how.stride):
+                if c[a:b].tobytes() in seen:  # an item that repeats itself: its first such window stands for all
+                    continue
+                seen.add(c[a:b].tobytes())
+                k = int(how.edit_rate * (b - a)) if len(c) >= how.min_item else 0
                 need = (b - a) + 1 - how.q * (k + 1)
                 while need < 1:  # cannot come up for the lengths min_item admits at the default q and rate
                     k -= 1
@@ -125,6 +140,7 @@ class Patterns:
                 self.text.append(c[a:b])
                 self.k.append(k)
                 self.need.append(need)
+                self.whole.append(len(c) < how.min_item)
         self.k, self.need = np.array(self.k, dtype=np.int64), np.array(self.need, dtype=np.int64)
         grams = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
         order = np.argsort(grams, kind="stable")
@@ -216,28 +232,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, how: Decontam = Decontam()
     size = 0
     found = []
     for row in items.orderBy("item_id", "text").toLocalIterator():  # a block at a time
-        if block and size + len(row.text) > how.block_chars:
-            found.append(_scan(src, Patterns(block, how), schema))
+        chars = sum(b - a for a, b in windows(len(row.text), how.window, how.stride))
+        if block and size + chars > how.block_chars:
+            found.append(_scan(src, by_gram(block, how), schema))
             block, size = [], 0
         block.append((row.item_id, row.text))
-        size += len(row.text)
-    found.append(_scan(src, Patterns(block, how), schema))
+        size += chars
+    found.append(_scan(src, by_gram(block, how), schema))
     return reduce(DataFrame.unionByName, found)
 
 
-def _scan(src: DataFrame, patterns: Patterns, schema: str) -> DataFrame:
+def _scan(src: DataFrame, patterns: list[Patterns], schema: str) -> DataFrame:
     fields = src.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, table = to_arrow_schema(fields), patterns.table()
+        arrow, tables = to_arrow_schema(fields), [(p, p.table()) for p in patterns]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = batch.column(0)
             rows: list = []
             for a, b in pieces(texts, 1_000_000):
-                rows += leaks(patterns, table, texts[a:b], a)
+                for p, table in tables:
+                    rows += leaks(p, table, texts[a:b], a)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[r[0]].as_py() for r in rows], arrow.field(0).type),
                  *[pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(1, 5)]], schema=arrow)
@@ -245,6 +263,12 @@ def _scan(src: DataFrame, patterns: Patterns, schema: str) -> DataFrame:
     return src.mapInArrow(run, fields)
 
 
+def _whole(c: np.ndarray, a: int, b: int) -> bool:
+    """Whether c[a:b] cuts no word at its ends."""
+    letter = lambda i: 0 <= i < len(c) and c[i] < SEAM and chr(c[i]).isalnum()
+    return not (letter(a - 1) and letter(a)) and not (letter(b - 1) and letter(b))
+
+
 def leaks(patterns: Patterns, table: np.ndarray, texts: list, base: int = 0) -> list[tuple]:
     """(index, item, window start, edits, end) of the best match of each text and pattern."""
     parts, first, n = [], [], 0
@@ -262,6 +286,8 @@ def leaks(patterns: Patterns, table: np.ndarray, texts: list, base: int = 0) ->
         owner, starts = cand[a:a + 2048].T
         edits, end = banded([patterns.text[o] for o in owner], c, starts, 2 * (patterns.k[owner] + 1))
         for i in np.flatnonzero(edits <= patterns.k[owner]):
+            if patterns.whole[owner[i]] and not _whole(c, int(end[i]) - len(patterns.text[owner[i]]), int(end[i])):
+                continue
             doc = int(np.searchsorted(first, end[i] - 1, side="right") - 1)
             key, val = (base + doc, int(owner[i])), (int(edits[i]), int(end[i] - first[doc]))
             if key not in got or val < got[key]:

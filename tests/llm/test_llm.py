@@ -287,6 +287,23 @@ def test_decontamination_stays_inside_a_text():
             assert {r[0] for r in decontam.leaks(patterns, patterns.table(), texts)} == {0, 2}
 
 
+def test_decontamination_parts_at_every_offset_and_short_items():
+    rnd = random.Random(17)
+    item = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    how = decontam.Decontam()
+    items = [(1, item), (2, "the quick answer"), (3, "is 42"), (4, "xy")]
+    size = how.window + how.stride - 1
+    texts = ["clean prose " * 9 + item[a:a + size] + " clean prose" * 9 for a in range(len(item) - size + 1)]
+    texts += ["so The  quick answer.", "so the quick answers", "it (is 42)", "is 421", "an xy", "axy", "xy"]
+    got = defaultdict(set)
+    for p in decontam.by_gram(items, how):
+        for r in decontam.leaks(p, p.table(), texts):
+            got[r[0]].add(r[1])
+    n = len(item) - size + 1
+    assert all(1 in got[i] for i in range(n))
+    assert [got[n + i] for i in range(7)] == [{2}, set(), {3}, set(), {4}, set(), {4}]
+
+
 def test_banded_equals_full_alignment():
     rnd = random.Random(9)
     for _ in range(30):
