@@ -7,14 +7,17 @@ where they differ are variable fields too.  (That is the similarity of one half
 that such trees ask for, decided by grouping instead of line by line, so the
 result does not hang on the order of lines.)  A template found in ``min_docs``
 documents or more is boilerplate, and its lines are dropped from all documents.
+Lines below ``min_tokens`` tokens have a leaf of their own, by all their masked tokens
+(all tokens as they are, where every one is a variable field), and are dropped
+when ``short_docs`` documents or more hold the same.
 
 Scale.  A line is two narrow rows (first half, second half); documents are counted
 by a distinct count that spreads a hot template over its documents; the join
 back is between stored tables, so adaptive execution splits a hot template.
 Texts move once, by document id.  No Python runs.
 
-Defined results: a null text stays null and counts no lines; lines below
-``min_tokens`` tokens are never dropped; repeated rows with one id count as one
+Defined results: a null text stays null and counts no lines; lines without a
+token are never dropped; repeated rows with one id count as one
 document and are cleaned alike; a null id counts as no document.
 """
 
@@ -35,31 +38,38 @@ class Tree:
     depth: int = 3
     min_tokens: int = 6
     min_docs: int = 10
+    short_docs: int = 10
 
 
 def lines_of(docs: DataFrame, how: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, tokens) of each line, variable fields masked."""
+    """(doc_id, line_no, line, tokens) of each line, variable fields masked in ``tokens``."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"(?<!\S)(?=\S*[0-9])\S+", FIELD)).otherwise(
         F.col("line"))
-    return src.select("doc_id", "line_no", F.array_remove(F.split(masked, WHITE), "").alias("tokens"))
+    return src.select("doc_id", "line_no", "line", F.array_remove(F.split(masked, WHITE), "").alias("tokens"))
 
 
 def halves(tokens: str, how: Tree):
-    """Keys of a line's two possible templates: its place in the tree with either half of its tokens."""
+    """Keys of a line's two possible templates: its place in the tree with either half of its tokens;
+    a short line has one key, of all its tokens."""
     t, n = F.col(tokens), F.size(tokens)
     lead, half = F.slice(t, 1, how.depth), F.expr(f"size({tokens}) div 2")
     first = F.xxhash64(n, F.lit(1), lead, F.slice(t, F.lit(1), n - half))
     second = F.xxhash64(n, F.lit(2), lead, F.slice(t, n - half + 1, half))
-    return F.when(n >= how.min_tokens, F.array(first, second)).otherwise(F.array(F.lit(None).cast("long")))
+    own = F.when(F.size(F.array_remove(t, FIELD)) > 0, t).otherwise(F.array_remove(F.split("line", WHITE), ""))
+    short = F.xxhash64(n, F.lit(0), own)
+    return (F.when(n >= how.min_tokens, F.array(first, second)).when(n > 0, F.array(short))
+            .otherwise(F.array(F.lit(None).cast("long"))))
 
 
 def recurring(docs: DataFrame, how: Tree = Tree(), **cols) -> tuple[DataFrame, DataFrame]:
     """((doc_id, line_no, key), (key, n_docs)): lines by template key, and the templates in enough documents."""
-    lines = lines_of(docs, how, **cols).select("doc_id", "line_no", F.explode(halves("tokens", how)).alias("key"))
+    lines = lines_of(docs, how, **cols).select("doc_id", "line_no", (F.size("tokens") < how.min_tokens).alias("short"),
+                                               F.explode(halves("tokens", how)).alias("key"))
     lines = stage(lines, "template-lines")
-    found = lines.filter("key is not null").groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"))
-    return lines, stage(found.filter(F.col("n_docs") >= how.min_docs).select(F.col("key").alias("_key"), "n_docs"),
+    found = lines.filter("key is not null").groupBy("key", "short").agg(F.countDistinct("doc_id").alias("n_docs"))
+    least = F.when(F.col("short"), F.lit(how.short_docs)).otherwise(F.lit(how.min_docs))
+    return lines, stage(found.filter(F.col("n_docs") >= least).select(F.col("key").alias("_key"), "n_docs"),
                         "templates")
 
 

@@ -150,6 +150,14 @@ def test_log_templates_fields(spark, odd, empty):
     assert log_templates.drop_templates(odd).count() == odd.count() and log_templates.drop_templates(empty).count() == 0
 
 
+def test_log_templates_short_lines(spark):
+    rows = [(i, f"Share this\n\nown words {'abcdefghijk'[i]}x\n{i + 100}\n2024\nPage {i} of 9") for i in range(11)]
+    df = spark.createDataFrame(rows + [(50, "Share this page")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in log_templates.drop_templates(df).collect()}
+    assert got == {**{i: f"\nown words {'abcdefghijk'[i]}x\n{i + 100}" for i in range(11)}, 50: "Share this page"}
+    assert {(r.template, r.n_docs) for r in log_templates.templates(df).collect()} >= {("Share this", 11), ("Page <*> of <*>", 11)}
+
+
 # -- 4 ------------------------------------------------------------------------
 
 def test_bitplane_encoder_equals_library(texts):
