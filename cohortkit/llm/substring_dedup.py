@@ -1,14 +1,22 @@
 """Substring dedup by hashing units of text.
 
-Units are lines and, within a line, sentences.  A unit is normalised (lower case,
-white space runs as one blank), hashed to 128 bits, and digests are grouped over
+Units are lines of any length, sentences within a line, and runs of words between
+cuts that the words themselves set, over the whole text.  A unit is normalised (lower
+case, white space runs as one blank), hashed to 128 bits, and digests are grouped over
 all documents.  The occurrence that ranks first (least document id, then least
 offset) stays, every other is removed; removed spans keep their offsets in the
-original text.  Units below ``min_words`` words are never removed by themselves: a
-shorter sentence belongs to the next long one of its line.
+original text.  A sentence or run below ``min_words`` words is never removed by itself:
+a shorter sentence belongs to the next long one of its line.
 
-Why sentences too: a passage inside a longer line, or a line changed in one word,
-shares no whole line with its copies, but shares its sentences.
+Why sentences and runs too: a passage inside a longer line, or a line changed in one
+word, shares no whole line with its copies, but shares its sentences, and the runs
+where it starts or ends inside a sentence or is laid out in other lines.
+
+Cuts.  Of every ``span`` neighbouring word pairs, the one of the least hash (the last of
+equals) has a cut before it, so the same words have the same cuts whatever stands
+around them.  A run goes from each cut to the first cut ``min_words`` or more words
+on.  A shared passage of 4 * span + min_words - 2 words or more (50) holds a whole run
+at any offset; up to 2 * span words or so at either end of it may stay.
 
 Scale.  Units are narrow rows.  The group's first comes from an aggregate with a
 map-side step, so a line that a third of all documents share is one row a task;
@@ -24,14 +32,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
+WORD = re.compile(r"\S+")
+MIX = np.uint64(0x9E3779B97F4A7C15)
 BORDER = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -39,6 +51,7 @@ BORDER = re.compile(r"(?<=[.!?])\s+")
 class Units:
     min_words: int = 8
     sentences: bool = True
+    span: int = 11
 
 
 def units(text: str, how: Units) -> list[tuple[int, int, bytes]]:
@@ -46,9 +59,9 @@ def units(text: str, how: Units) -> list[tuple[int, int, bytes]]:
     out, at = [], 0
     for line in text.split("\n"):
         words = line.split()
-        if len(words) >= how.min_words:
+        if words:
             out.append((at, at + len(line), _digest(words)))
-            if how.sentences:
+            if how.sentences and len(words) >= how.min_words:
                 start, count, first = 0, 0, 0
                 ends = [(m.start(), m.end()) for m in BORDER.finditer(line)] + [(len(line), len(line))]
                 for end, following in ends:
@@ -60,7 +73,23 @@ def units(text: str, how: Units) -> list[tuple[int, int, bytes]]:
                         start, count = following, 0
                     first = following
         at += len(line) + 1
-    return out
+    return sorted({*out, *runs(text, how)})
+
+
+def runs(text: str, how: Units) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of the runs of words between cuts set by the words themselves."""
+    found = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    if len(found) <= how.span:
+        return []
+    words = [text[a:b].lower() for a, b in found]
+    h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    pair = (h[:-1] * MIX + h[1:]) * MIX
+    pair ^= pair >> np.uint64(32)
+    least = np.lib.stride_tricks.sliding_window_view(pair, how.span)[:, ::-1].argmin(axis=1)
+    cuts = np.unique(np.arange(len(least)) + how.span - 1 - least)
+    to = np.searchsorted(cuts, cuts + how.min_words)
+    return [(found[i][0], found[j - 1][1], _digest(words[i:j]))
+            for i, j in zip(cuts[to < len(cuts)].tolist(), cuts[to[to < len(cuts)]].tolist())]
 
 
 def _digest(words: list[str]) -> bytes:
@@ -93,16 +122,32 @@ def repeated(docs: DataFrame, how: Units = Units(), id_col: str = "doc_id", text
             .select("doc_id", "start", "end", "first_doc", "first_start"))
 
 
+def outermost(spans: list[tuple]) -> list[tuple]:
+    """The spans (start, end, ...) that lie in no other, in order."""
+    out, upto = [], -1
+    for x in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if x[1] > upto:
+            out.append(x)
+            upto = x[1]
+    return out
+
+
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the spans; a line that is taken out whole takes its line break along."""
+    """The text without the spans; a line that is taken out whole takes its line break along, and a
+    stretch that runs over a line's end otherwise leaves a line break."""
     out, at = [], 0
-    for a, b in spans:
-        if b <= at:
-            continue
-        a = max(a, at)
+    joined: list[list[int]] = []
+    for a, b in outermost(spans):
+        if joined and (a <= joined[-1][1] or (gap := text[joined[-1][1]:a]).isspace() and "\n" not in gap):
+            joined[-1][1] = b
+        else:
+            joined.append([a, b])
+    for a, b in joined:
         out.append(text[at:a])
-        whole = (a == 0 or text[a - 1] == "\n") and (b == len(text) or text[b] == "\n")
-        at = b + 1 if whole else b
+        starts, ends = a == 0 or text[a - 1] == "\n", b == len(text) or text[b] == "\n"
+        at = b + 1 if starts and ends else b
+        if not starts and not ends and "\n" in text[a:b]:
+            out.append("\n")
     out.append(text[at:])
     return "".join(out)
 
@@ -120,11 +165,14 @@ def dedup(docs: DataFrame, how: Units = Units(), id_col: str = "doc_id", text_co
         for batch in batches:
             hit = [i for i, r in enumerate(batch.column(last).is_valid().to_pylist()) if r]
             if hit:
-                texts = batch.column(at).to_pylist()
+                texts, gone = batch.column(at).to_pylist(), [None] * batch.num_rows
                 for i in hit:
+                    spans = [(r["start"], r["end"], r["first_doc"]) for r in batch.column(last)[i].as_py()]
+                    gone[i] = [dict(zip(("start", "end", "first_doc"), x)) for x in outermost(spans)]
                     if texts[i] is not None:
-                        texts[i] = without(texts[i], [(r["start"], r["end"]) for r in batch.column(last)[i].as_py()])
+                        texts[i] = without(texts[i], [x[:2] for x in spans])
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                batch = batch.set_column(last, batch.schema.field(last), pa.array(gone, batch.schema.field(last).type))
             yield batch
 
     return joined.mapInArrow(run, joined.schema)

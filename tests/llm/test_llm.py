@@ -82,6 +82,23 @@ def test_units_resume_inside_a_passage():
     assert len(a & b) >= 1
 
 
+def test_substring_dedup_passages_and_short_lines(spark):
+    rnd = random.Random(23)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = [(0, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)]))]
+    for k in range(1, 40):  # at every offset, in one line or in short ones
+        lead, tail = [word() for _ in range(k)], [word() for _ in range(40)]
+        rows.append((k, " ".join(lead) + " " + (" " if k % 2 else "\n").join(passage) + " " + " ".join(tail)))
+    rows += [(100, "Read more\nfirst own words"), (101, "second own words\nread  more\nend")]
+    got = {r.doc_id: r.text for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and got[100] == rows[-2][1] and got[101] == "second own words\nend"
+    for d, t in rows[1:40]:
+        left, all_words = got[d].split(), t.split()
+        assert left[:d] == all_words[:d] and left[-40:] == all_words[-40:]
+        assert len(left) - d - 40 <= 45 and not any(left[i:i + 50] == passage[j:j + 50] for i in range(len(left)) for j in range(11))
+
+
 # -- 2 ------------------------------------------------------------------------
 
 def test_loser_tree():
