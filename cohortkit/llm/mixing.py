@@ -74,13 +74,14 @@ def strata(docs: DataFrame, topic: Column | None = None, text: str = "text") ->
                        (default_topic(text) if topic is None else topic).alias("topic"), tokens(text).alias("tokens"))
 
 
-def pooled(cells: DataFrame, dim: str, most: int) -> DataFrame:
-    """(category, stratum): the largest categories by themselves, the rest together."""
+def pooled(cells: DataFrame, dim: str, most: int, named: tuple = ()) -> DataFrame:
+    """(category, stratum): the largest categories and the named ones by themselves, the rest together."""
     total = cells.groupBy(F.col(dim).alias("category")).agg(F.sum("tokens").alias("n"))
     large = (total.orderBy(F.col("n").desc(), "category").limit(most)
              .select(F.col("category").alias("_c")))
     return total.join(F.broadcast(large), F.col("category") == F.col("_c"), "left").select(
-        "category", F.coalesce("_c", F.lit("(other)")).alias("stratum"))
+        "category", F.coalesce("_c", F.when(F.col("category").isin(*named), F.col("category")),
+                               F.lit("(other)")).alias("stratum"))
 
 
 def rake(cells: DataFrame, how: Mix) -> DataFrame:
@@ -152,7 +153,7 @@ def probabilities(rows: DataFrame, how: Mix) -> DataFrame:
     cells = stage(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     key = cells
     for d in DIMS:
-        names = pooled(cells, d, how.max_categories).withColumnsRenamed({"category": d, "stratum": f"_s_{d}"})
+        names = pooled(cells, d, how.max_categories, tuple(how.targets.get(d, ()))).withColumnsRenamed({"category": d, "stratum": f"_s_{d}"})
         key = key.join(names, d)
     key = stage(key, "mix-keys")
     strata_of = [F.col(f"_s_{d}").alias(d) for d in DIMS]

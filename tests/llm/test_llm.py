@@ -388,6 +388,13 @@ def test_mixing_rare_category_does_not_set_the_scale(spark, docs):
     assert share(got) >= 0.4 - 1e-3 and abs(share(got) - share(plain)) < 0.02
 
 
+def test_mixing_named_categories_are_not_pooled(spark):
+    cells = spark.createDataFrame([("a", 9), ("b", 8), ("c", 2), ("d", 1)], "source string, tokens long")
+    got = {r.category: r.stratum for r in mixing.pooled(cells, "source", 2, ("d",)).collect()}
+    assert got == {"a": "a", "b": "b", "c": "(other)", "d": "d"}
+    assert {r.stratum for r in mixing.pooled(cells, "source", 2).collect()} == {"a", "b", "(other)"}
+
+
 # -- 9 ------------------------------------------------------------------------
 
 def test_quality_counts_brute_force(docs, odd):
