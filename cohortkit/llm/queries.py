@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bitplane, decontam, hilbert, langid, log_templates, mixing, quality, simhash, substring_dedup,
-               warc_index)
+from . import (bitplane, conversation_repair, decontam, hilbert, langid, log_templates, mixing, periodic_runs,
+               piece_encoding, quality, simhash, substring_dedup, warc_index)
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -77,6 +78,33 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.audit(rows, conversation_repair.damage(rows))
+
+
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = piece_encoding.encode(docs, piece_encoding.read_model(tokenizer_path(PIECE_MODEL)), decoded=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.collapse(periodic_runs.with_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    text = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    out = out.select("doc_id", "runs", "collapsed", longest.alias("top"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.floor(F.lit(1000) * F.col("top.length") / -F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_warc_index, op3_log_templates, op4_bitplane_ids, op5_hilbert_shards, op6_decontamination,
-    op7_language_mixture, op8_mixing, op9_quality_rules, op10_simhash_groups, pipeline)}
+    op7_language_mixture, op8_mixing, op9_quality_rules, op10_simhash_groups, op11_conversation_repair,
+    op12_piece_encoding, op13_periodic_runs, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {}
