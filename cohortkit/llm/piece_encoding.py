@@ -35,6 +35,7 @@ import hashlib
 import re
 import sys
 import types
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,14 @@ BLANK = "▁"
 NO_PAIR = np.iinfo(np.int64).max
 
 
+class Numbers(dict):
+    """Numbers things in the order they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class PieceModel:
     """A sentencepiece BPE model as lookup arrays; ``encode`` and ``decode`` whole texts."""
 
@@ -97,7 +106,7 @@ class PieceModel:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.known_chars = {}, 0  # word -> its number; word k has ids table[ends[k]:ends[k + 1]]
+        self.known, self.known_chars = Numbers(), 0  # word -> its number; word k has ids table[ends[k]:ends[k + 1]]
         self.table, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,13 +119,11 @@ class PieceModel:
         near = np.minimum(np.searchsorted(self.bigrams, code[:-1] << 32 | code[1:]), len(self.bigrams) - 1)
         joint = (word[:-1] == word[1:]) & (self.bigrams[near] == (code[:-1] << 32 | code[1:]))
         seg = np.append(0, np.cumsum(~joint)) if len(code) else np.zeros(0, np.int64)
+        pair_rank, piece = self._pairs(sym, seg, np.arange(len(sym)))
         done = []
         while len(sym):
-            pair_rank, piece = self._ranks(sym, seg)
             begin = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-            least = np.minimum.reduceat(pair_rank, begin)
-            count = np.diff(np.append(begin, len(seg)))
-            least_of = np.repeat(least, count)
+            least_of = np.repeat(np.minimum.reduceat(pair_rank, begin), np.diff(np.append(begin, len(seg))))
             over = least_of == NO_PAIR
             if over.any():
                 done.append((seg[over], sym[over], word[over]))
@@ -136,19 +143,25 @@ class PieceModel:
             sym[at] = piece[at]
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
-            sym, seg, word = sym[stay], seg[stay], word[stay]
+            sym, seg, word, pair_rank, piece = (x[stay] for x in (sym, seg, word, pair_rank, piece))
+            # only the pairs beside a joined piece are new
+            now = at - np.arange(len(at))
+            for new in (now, np.maximum(now - 1, 0)):
+                pair_rank[new], piece[new] = self._pairs(sym, seg, new)
         if not done:
             return np.zeros(0, "<u4"), np.zeros(len(words), np.int64)
         seg, sym, word = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(seg, kind="stable")
         return self._ids(sym[order], word[order], len(words))
 
-    def _ranks(self, sym: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and joined piece of each symbol with the next one of its segment."""
-        key = sym[:-1] * self.n_symbols + sym[1:]
+    def _pairs(self, sym: np.ndarray, seg: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and joined piece of the symbols ``at`` with the next ones of their segments."""
+        to = np.minimum(at + 1, len(sym) - 1)
+        left, right = sym[at], sym[to]
+        key = left * self.n_symbols + right
         place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        fits = (self.pair_keys[place] == key) & (seg[:-1] == seg[1:]) & (sym[:-1] >= 0) & (sym[1:] >= 0)
-        return np.append(np.where(fits, self.pair_rank[place], NO_PAIR), NO_PAIR), np.append(self.pair_piece[place], -1)
+        fits = (self.pair_keys[place] == key) & (seg[at] == seg[to]) & (to > at) & (left >= 0) & (right >= 0)
+        return np.where(fits, self.pair_rank[place], NO_PAIR), self.pair_piece[place]
 
     def _ids(self, sym: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         """Symbols as ids; characters that are no piece as the ids of their UTF-8 bytes."""
@@ -174,24 +187,23 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the begin and end ids."""
-        split = [self.words.findall(self.lib.normalize(t)) if t else [] for t in texts]
         if self.known_chars > self.cache_chars:
             self._clear()
-        known = self.known
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in known))
+        known, had = self.known, len(self.known)
+        split = [self.words.findall(self.lib.normalize(t)) if t else [] for t in texts]
+        split = [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in split]
+        new = list(islice(reversed(known), len(known) - had))[::-1]
         if new:
             ids, counts = self.rounds(new)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
             self.known_chars += sum(map(len, new))
             self.table = np.concatenate([self.table, ids])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
         out = []
         bos, eos = (np.array([x], "<u4") for x in (self.lib.bos_id(), self.lib.eos_id()))
-        for ws in split:
-            k = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+        for k in split:
             first, count = self.ends[k], self.ends[k + 1] - self.ends[k]
             upto = np.cumsum(count)
-            body = self.table[np.arange(upto[-1] if len(ws) else 0) + np.repeat(first - (upto - count), count)]
+            body = self.table[np.arange(upto[-1] if len(k) else 0) + np.repeat(first - (upto - count), count)]
             out.append(np.concatenate([bos, body, eos]))
         return out
 
