@@ -5,10 +5,8 @@
 cohort and its orders.  Everything stays lazy; the filters on ``ride_city``,
 ``order_status`` and ``order_date`` reach the parquet scan as pushed filters.
 
-Per-captain cohort rules are one aggregate over the base (activity flag and
-the three female counts together), instead of a distinct + semi join + a second
-aggregate: one shuffle on ``captain_id``, with a partial step that makes a
-captain holding a third of all rows harmless.
+Per-captain cohort rules come from the one pass of ``plans.scope``, which also
+serves the feedback rules, the metadata and the run's counts.
 """
 
 from __future__ import annotations
@@ -22,6 +20,7 @@ from pyspark.sql.types import StringType
 from ..config import RunConfig
 from ..functions import lenient_double, lenient_int, lenient_timestamp, ts_lit
 from ..operators import keep
+from .scope import STATS, captain_scope, eligible
 
 SEG = "gender"  # derived two-value segment column: Female / Male
 FEMALE, MALE = "Female", "Male"
@@ -76,40 +75,26 @@ def with_segment(df: DataFrame, cfg: RunConfig) -> DataFrame:
                          .otherwise(F.lit(MALE)))
 
 
-def female_stats(base: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Per captain active in the last ``active_months``: female ride, rated and bad counts.
-
-    Captains without a female ride are absent (as in a group-by over female rows).
-    """
-    fem = F.col("customer_gender") == cfg.female_code
-    r = F.col("customer_feedback_rating")
-    stats = base.groupBy("captain_id").agg(
-        F.max(F.col("order_date") >= ts_lit(cfg.active_start)).alias("_active"),
-        F.count_if(fem).alias("female_total_rides"),
-        F.count_if(fem & r.isin(list(cfg.rated_values))).alias("female_rated_rides"),
-        F.count_if(fem & r.isin(list(cfg.bad_values))).alias("bad_female_ratings"),
-    )
-    return (stats.where(F.col("_active") & (F.col("female_total_rides") > 0))
-            .drop("_active"))
-
-
 @dataclass(frozen=True)
 class Cohort:
     scoped: DataFrame  # script df
     base: DataFrame  # six-month dropped base
+    scope: DataFrame  # everything needed per captain of ``scoped``, from one pass
     stats: DataFrame  # female stats per active captain
     ids: DataFrame  # eligible captain ids
     orders: DataFrame  # base rows of eligible captains (with ``gender``)
 
 
-def eligible_cohort(wide: DataFrame, cfg: RunConfig, store=lambda df, label: df) -> Cohort:
-    """``store`` keeps the per-captain statistics, so that the ids are read and not aggregated anew."""
+def eligible_cohort(wide: DataFrame, cfg: RunConfig, store=lambda df: df) -> Cohort:
+    """``store`` keeps the per-captain pass, so that every later step reads it and not the wide table.
+
+    ``stats`` has the captains active in the last ``active_months`` with a female
+    ride in the base (others are absent, as in a group-by over female rows).
+    """
     df = scoped_orders(wide, cfg)
     base = base_orders(df, cfg)
-    stats = store(female_stats(base, cfg), "female-stats")
-    ids = (stats.where((F.col("female_total_rides") >= cfg.female_min_rides)
-                       & (F.col("female_rated_rides") >= cfg.female_min_rated)
-                       & (F.col("bad_female_ratings") == 0))
-           .select("captain_id"))
+    scope = store(captain_scope(df, cfg))
+    stats = scope.where(F.col("active") & (F.col("female_total_rides") > 0)).select("captain_id", *STATS)
+    ids = scope.where(eligible(cfg)).select("captain_id")
     orders = with_segment(keep(base, ids, "captain_id"), cfg)
-    return Cohort(scoped=df, base=base, stats=stats, ids=ids, orders=orders)
+    return Cohort(scoped=df, base=base, scope=scope, stats=stats, ids=ids, orders=orders)

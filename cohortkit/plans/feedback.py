@@ -1,10 +1,8 @@
 """Explicit-feedback exclusion rules.
 
-Both rules read the scoped order frame (all captains, no upper date bound),
-female rides only, and count *distinct orders* in total and per answer.  Several
-filtered distinct counts in one aggregate would make Spark expand every row
-once per count; instead the rows are first reduced to one row per
-``(captain, order)`` with per-answer flags, then plain counts per captain.
+Both rules count *distinct orders* with a female answer, in total and per answer, over
+the scoped orders (all captains, no upper date bound).  The counts come from the
+one pass of ``plans.scope``; here are the rules on them.
 """
 
 from __future__ import annotations
@@ -17,34 +15,37 @@ from ..config import RunConfig
 KEY = "captain_id"
 
 
-def answer_counts(df: DataFrame, answer: str, cfg: RunConfig, yes: Column, no: Column) -> DataFrame:
-    """Per captain: distinct answered orders, distinct 'yes' orders, distinct 'no' orders."""
-    rows = df.where((F.col("customer_gender") == cfg.female_code) & F.col(answer).isNotNull())
-    per_order = rows.groupBy(KEY, "order_id").agg(F.max(yes).alias("_y"), F.max(no).alias("_n"))
-    return per_order.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("total_count"),
-        F.count_if(F.col("_y")).alias("yes_count"),
-        F.count_if(F.col("_n")).alias("no_count"),
-    )
+def _counts(rule: str) -> list[Column]:
+    return [F.col(f"{rule}_{n}").alias(f"{n}_count") for n in ("total", "yes", "no")]
 
 
-def fb_live(df: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Live feedback: excluded when more than ``live_min_total`` orders and any 'No'."""
-    a = F.col("live_feedback_feedback")
-    c = answer_counts(df, "live_feedback_feedback", cfg, a == "Yes", a == cfg.no_label)
-    return c.withColumn("excluded", (F.col("total_count") > cfg.live_min_total) & (F.col("no_count") > 0))
+def pct_yes(rule: str) -> Column:
+    """Share of yes orders in percent; null without an answered order."""
+    return F.round(F.try_divide(f"{rule}_yes", F.col(f"{rule}_total")) * F.lit(100), 2)
 
 
-def fb_rating(df: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Rating screen: excluded when more than ``rating_min_total`` orders and %yes below the cut."""
-    a = F.col("rating_screen_feedback")
-    c = answer_counts(df, "rating_screen_feedback", cfg, a.isin(list(cfg.yes_labels)), a == cfg.no_label)
-    c = c.withColumn("pct_yes", F.round(F.col("yes_count") / F.col("total_count") * F.lit(100), 2))
-    return c.withColumn("excluded", (F.col("total_count") > cfg.rating_min_total)
-                        & (F.col("pct_yes") < F.lit(cfg.rating_min_pct_yes)))
+def live_excluded(cfg: RunConfig) -> Column:
+    """More than ``live_min_total`` answered orders and any 'No'."""
+    return (F.col("live_total") > cfg.live_min_total) & (F.col("live_no") > 0)
 
 
-def feedback_ids(live: DataFrame, rating: DataFrame) -> DataFrame:
-    """Union of both exclusion sets (distinct captain ids)."""
-    return (live.where("excluded").select(KEY)
-            .unionByName(rating.where("excluded").select(KEY)).distinct())
+def rating_excluded(cfg: RunConfig) -> Column:
+    """More than ``rating_min_total`` answered orders and %yes below the cut."""
+    return (F.col("rating_total") > cfg.rating_min_total) & F.coalesce(pct_yes("rating") < F.lit(cfg.rating_min_pct_yes),
+                                                                       F.lit(False))
+
+
+def fb_live(scope: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Live feedback of every captain with an answered order."""
+    return scope.where(F.col("live_total") > 0).select(KEY, *_counts("live"), live_excluded(cfg).alias("excluded"))
+
+
+def fb_rating(scope: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Rating screen of every captain with an answered order."""
+    return scope.where(F.col("rating_total") > 0).select(
+        KEY, *_counts("rating"), pct_yes("rating").alias("pct_yes"), rating_excluded(cfg).alias("excluded"))
+
+
+def feedback_ids(scope: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Captains that either rule excludes."""
+    return scope.where(live_excluded(cfg) | rating_excluded(cfg)).select(KEY)

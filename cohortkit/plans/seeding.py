@@ -1,24 +1,26 @@
 """Composition: cohort -> signals -> exclusions -> final list, audit log, metrics.
 
-``run_seeding(wide, cfg)`` returns every output as a lazy DataFrame; nothing
-runs until a sink or an action.  Id sets stay DataFrames (semi/anti joins),
-thresholds stay scalar subqueries, and the audit log is a union of the signal
-functions' own flagged frames.
+``run_seeding(wide, cfg)`` gives a run whose stages are built on first use.  The wide
+table is scanned twice: for the per-captain pass (``plans.scope``) and for the
+cohort's orders.  Building a stage stores it (when materialising) and counts what the
+metrics show on the way, so ``metrics()`` has no scan of its own.  Id sets stay
+DataFrames (semi/anti joins), and the audit log is a union of the signal functions'
+own flagged frames.
 """
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..session import materialize
-from ..operators import (audit_part, audit_union, exclude, fixed4, flag_matrix, joined_flags, keep, kv,
-                         latest_per_key, overlap_counts, top_k_per_group)
+from ..session import materialize_counted
+from ..operators import audit_part, audit_union, fixed4, flag_matrix, joined_flags, kv, top_k_per_group
 from .cohort import Cohort, eligible_cohort
-from .feedback import fb_live, fb_rating, feedback_ids
+from .feedback import fb_live, fb_rating, feedback_ids, live_excluded, rating_excluded
+from .scope import META, eligible
 from .signals import KEY, SIGNAL_COLUMNS, SignalSet, all_signals
 
 SIGNAL_ORDER = ("review", "calls", "ocara", "ticket", "inappchat")
@@ -29,26 +31,25 @@ def risk_master(signals: SignalSet) -> DataFrame:
     return flag_matrix(signals.ids(), KEY)
 
 
-def captain_meta(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Latest ``service_type``, ``mobile``, ``shift_name`` per captain in ``ids`` by order date.
+def captain_status(scope: DataFrame, risky: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Where each captain of the scope stands: in the cohort, flagged by a signal, excluded by feedback,
+    left over (``nminus1``), listed (``final``), outside the shift list (``off_shift``); and the latest metadata.
 
-    Ties on the date are broken by ``order_id`` then the values themselves; the
-    latest row's values are kept even when null.
+    Membership is by id, so a null id is never removed by another set, and never listed.
     """
-    rows = keep(df, ids, KEY).select(KEY, "order_date", "order_id", "service_type", "mobile", "shift_name")
-    return latest_per_key(rows, [KEY], order=["order_date"], ties=["order_id"],
-                          payload=["service_type", "mobile", "shift_name"])
-
-
-def final_list(nminus1: DataFrame, meta: DataFrame, cfg: RunConfig) -> DataFrame:
-    out = nminus1.join(meta, KEY, "inner")
-    if cfg.apply_shift_filter:
-        out = out.where(F.col("shift_name").isin(list(cfg.shift_list)))
-    return out.select(KEY, "mobile", "shift_name")
-
-
-def audit_log(s: SignalSet, live: DataFrame, rating: DataFrame, nminus1: DataFrame, meta: DataFrame,
-              cfg: RunConfig) -> DataFrame:
+    flags = risky.select(F.col(KEY).alias("_risky"))
+    known = F.col(KEY).isNotNull()
+    listed = F.col("shift_name").isin(list(cfg.shift_list))
+    s = scope.join(flags, F.col(KEY) == F.col("_risky"), "left").select(
+        KEY, eligible(cfg).alias("in_cohort"), F.col("_risky").isNotNull().alias("flagged"),
+        (live_excluded(cfg) | rating_excluded(cfg)).alias("excluded"), *META)
+    s = s.withColumn("nminus1", F.col("in_cohort") & ~F.col("flagged") & ~(F.col("excluded") & known))
+    return s.select("*", (F.col("nminus1") & known & (F.coalesce(listed, F.lit(False)) if cfg.apply_shift_filter
+                                                      else F.lit(True))).alias("final"),
+                    (F.col("nminus1") & known & F.coalesce(~listed, F.lit(False))).alias("off_shift"))
+
+
+def audit_log(s: SignalSet, live: DataFrame, rating: DataFrame, status: DataFrame, cfg: RunConfig) -> DataFrame:
     """Every removal reason, ``(captain_id, signal, logic, evidence)``."""
     rv = s.review.flagged
     calls = s.calls.flagged
@@ -68,8 +69,8 @@ def audit_log(s: SignalSet, live: DataFrame, rating: DataFrame, nminus1: DataFra
                    kv(("total", F.col("total_count")), ("yes", F.col("yes_count")), ("no", F.col("no_count")))),
         audit_part(rating.where("excluded"), KEY, "new_feedback", "rating_screen_low_yes",
                    kv(("total", F.col("total_count")), ("pct_yes", F.col("pct_yes")))),
-        audit_part(nminus1.join(meta, KEY, "inner").where(~F.col("shift_name").isin(list(cfg.shift_list))),
-                   KEY, "shift", "shift_not_in_list", kv(("shift_name", F.col("shift_name")))),
+        audit_part(status.where("off_shift"), KEY, "shift", "shift_not_in_list",
+                   kv(("shift_name", F.col("shift_name")))),
     ]
     return audit_union(parts)
 
@@ -80,150 +81,162 @@ def audit_top(audit: DataFrame, k: int) -> DataFrame:
 
 
 class SeedingRun:
-    """One run of the job; every stage is a lazy DataFrame built on first use.
+    """One run of the job; every stage is built on first use.
 
-    Stored when materialising (parquet in the checkpoint folder): the cohort's
-    statistics and its orders (row grain, signal columns), the per-captain facts,
-    flagged sets, thresholds, feedback tables, risk master, remaining captains and
-    their metadata.  Outputs and metrics read those.
+    Stored when materialising (parquet in the checkpoint folder): the per-captain
+    pass, the cohort's orders (row grain, signal columns), the per-captain facts,
+    flagged sets, thresholds, risk master and status.  Outputs read those.
     """
 
     def __init__(self, wide: DataFrame, cfg: RunConfig, materialize: bool = True):
         self.wide, self.cfg, self.materialize = wide, cfg, materialize
+        self._counted: dict[str, dict] = {}
+
+    def _store(self, df: DataFrame, label: str, counts: dict[str, Column]) -> DataFrame:
+        """Keep a stage and its counts; not materialising, both stay lazy."""
+        if self.materialize:
+            df, self._counted[label] = materialize_counted(df, label, counts)
+        else:
+            self._counted[label] = {"_frame": df, "_counts": counts}
+        return df
+
+    def _count(self, label: str) -> dict:
+        got = self._counted[label]
+        if "_frame" in got:
+            got = self._counted[label] = got["_frame"].agg(*[c.alias(n) for n, c in got["_counts"].items()]).first().asDict()
+        return got
 
     @cached_property
     def cohort(self) -> Cohort:
-        return eligible_cohort(self.wide, self.cfg, self._keep)
+        live, rating = live_excluded(self.cfg), rating_excluded(self.cfg)
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        counts = {"source_rows": total("scoped_rows"), "base_rows": total("base_rows"),
+                  "captains": F.count_if(eligible(self.cfg)), "live_excluded": F.count_if(live),
+                  "rating_excluded": F.count_if(rating), "feedback": F.count_if(live | rating)}
+        return eligible_cohort(self.wide, self.cfg, lambda df: self._store(df, "captain-scope", counts))
 
     @cached_property
     def signal_orders(self) -> DataFrame:
         """The cohort's orders, projected to the signal columns; stored once when materialising.
 
         Every signal pass (call-count quantile, per-captain facts, cancel sums)
-        then scans this stage table instead of re-running the scope filters,
-        the cohort aggregate and the semi join.
+        then scans this stage table instead of re-running the scope filters
+        and the semi join.
         """
-        o = self.cohort.orders.select(*SIGNAL_COLUMNS)
-        return materialize(o, "cohort-orders") if self.materialize else o
+        return self._store(self.cohort.orders.select(*SIGNAL_COLUMNS), "cohort-orders", {"orders": F.count(F.lit(1))})
 
     @cached_property
     def signals(self) -> SignalSet:
-        return all_signals(self.signal_orders, self.cfg, self.materialize)
-
-    def _keep(self, df: DataFrame, label: str) -> DataFrame:
-        """Store a small per-captain result that several outputs read (when materialising)."""
-        return materialize(df, label) if self.materialize else df
+        return all_signals(self.signal_orders, self.cfg, self.materialize, self._store)
 
     @cached_property
     def risky(self) -> DataFrame:
-        return self._keep(risk_master(self.signals), "risk-master")
+        return self._store(risk_master(self.signals), "risk-master",
+                           {"risky": F.count(F.lit(1)), **{n: F.count_if(f"flag_{n}") for n in SIGNAL_ORDER}})
+
+    @cached_property
+    def status(self) -> DataFrame:
+        in_cohort, flagged, excluded, known = (F.col("in_cohort"), F.col("flagged"), F.col("excluded"),
+                                               F.col(KEY).isNotNull())
+        return self._store(captain_status(self.cohort.scope, self.risky, self.cfg), "captain-status", {
+            "seed": F.count_if(in_cohort & ~flagged), "nminus1": F.count_if("nminus1"), "final": F.count_if("final"),
+            "off_shift": F.count_if("off_shift"), **overlap_counts_of(in_cohort, flagged, excluded, known),
+            "audited": F.count_if(known & (flagged | excluded | F.col("off_shift")))})
 
     @cached_property
     def seed(self) -> DataFrame:
-        return exclude(self.cohort.ids, self.risky, KEY)
+        return self.status.where(F.col("in_cohort") & ~F.col("flagged")).select(KEY)
 
     @cached_property
     def live(self) -> DataFrame:
-        return self._keep(fb_live(self.cohort.scoped, self.cfg), "live-feedback")
+        return fb_live(self.cohort.scope, self.cfg)
 
     @cached_property
     def rating(self) -> DataFrame:
-        return self._keep(fb_rating(self.cohort.scoped, self.cfg), "rating-screen")
+        return fb_rating(self.cohort.scope, self.cfg)
 
     @cached_property
     def feedback(self) -> DataFrame:
-        return feedback_ids(self.live, self.rating)
+        return feedback_ids(self.cohort.scope, self.cfg)
 
     @cached_property
     def nminus1(self) -> DataFrame:
-        return self._keep(exclude(self.seed, self.feedback, KEY), "nminus1")
+        return self.status.where("nminus1").select(KEY)
 
     @cached_property
     def meta(self) -> DataFrame:
-        return self._keep(captain_meta(self.cohort.scoped, self.nminus1), "meta")
+        return self.status.where(F.col("nminus1") & F.col(KEY).isNotNull()).select(KEY, *META)
 
     @cached_property
     def final(self) -> DataFrame:
-        return final_list(self.nminus1, self.meta, self.cfg)
+        return self.status.where("final").select(KEY, "mobile", "shift_name")
 
     @cached_property
     def audit(self) -> DataFrame:
-        return audit_log(self.signals, self.live, self.rating, self.nminus1, self.meta, self.cfg)
+        return audit_log(self.signals, self.live, self.rating, self.status, self.cfg)
 
     def overlap(self) -> DataFrame:
-        """Feedback removals already covered by the five signals vs incremental ones."""
-        o = overlap_counts(self.feedback, self.risky, KEY)
-        in_cohort = exclude(keep(self.feedback, self.cohort.ids, KEY), self.risky, KEY)
-        return (o.select(F.col("total").alias("df_new_feedback_total"),
-                         F.col("already").alias("already_in_5signal_risky"),
-                         F.col("incremental").alias("incremental_new_removals"))
-                .withColumns({
-                    "incremental_in_cohort": in_cohort.agg(F.count(F.lit(1))).scalar(),
-                    "seed_before": self.seed.agg(F.count(F.lit(1))).scalar(),
-                    "nminus1_after": self.nminus1.agg(F.count(F.lit(1))).scalar(),
-                }))
+        """Feedback removals already covered by the five signals vs incremental ones (one pass over the status)."""
+        in_cohort, flagged, excluded = F.col("in_cohort"), F.col("flagged"), F.col("excluded")
+        one = overlap_counts_of(in_cohort, flagged, excluded, F.col(KEY).isNotNull())
+        return self.status.agg(*[c.alias(n) for n, c in one.items()], F.count_if(in_cohort & ~flagged).alias("seed_before"),
+                               F.count_if("nminus1").alias("nminus1_after"))
 
     def metrics(self) -> DataFrame:
         return funnel_metrics(self)
 
 
+def overlap_counts_of(in_cohort: Column, flagged: Column, excluded: Column, known: Column) -> dict[str, Column]:
+    return {"df_new_feedback_total": F.count_if(excluded), "already_in_5signal_risky": F.count_if(excluded & flagged),
+            "incremental_new_removals": F.count_if(excluded & ~flagged),
+            "incremental_in_cohort": F.count_if(excluded & ~flagged & in_cohort & known)}
+
+
 def run_seeding(wide: DataFrame, cfg: RunConfig, materialize: bool = True) -> SeedingRun:
     return SeedingRun(wide, cfg, materialize)
 
 
 # ---- funnel metrics --------------------------------------------------------
 
-def _stage(df: DataFrame, stage: str, metrics: dict[str, Column]) -> DataFrame:
-    """One aggregate over a stage's frame, unpivoted to ``(stage, metric, value)`` rows."""
-    one = df.agg(*[c.cast("double").alias(n) for n, c in metrics.items()])
-    return (one.unpivot([], list(metrics), "metric", "value")
-            .select(F.lit(stage).alias("stage"), "metric", "value"))
-
-
 def funnel_metrics(r: SeedingRun) -> DataFrame:
-    """``(stage, metric, value)`` rows for every stage of the run (one lazy frame).
+    """``(stage, metric, value)`` rows for every stage of the run.
 
-    One aggregate per stage frame (not one job per number); thresholds come
-    from the signals' scalar subqueries.
+    Every count was taken while its stage was stored; the thresholds are one
+    stored row.  Builds the stages that are not built yet and reads no other table.
     """
-    s = r.signals
-    _ROWS = F.count(F.lit(1))
-    _sum = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    applied = r.overlap()
-    one = r.cohort.ids.agg(_ROWS.alias("_n"))
-    parts = [
-        _stage(r.cohort.scoped, "cohort", {"source_rows": _ROWS}),
-        _stage(r.cohort.base, "cohort", {"base_6m_dropped": _ROWS}),
-        _stage(r.cohort.ids, "cohort", {"cohort_captains": _ROWS}),
-        _stage(r.cohort.orders, "cohort", {"cohort_orders": _ROWS}),
-        _stage(s.chat.flagged, "inappchat", {"captains_flagged": _ROWS, "female_incidents": _sum("female_incidents"),
-                                             "male_incidents": _sum(F.col("incidents") - F.col("female_incidents"))}),
-        _stage(s.ticket.metrics, "ticket", {"tickets_total": _sum("ticket_rows")}),
-        _stage(s.ticket.flagged, "ticket", {"p0_p1_captains": F.count_distinct(KEY)}),
-        _stage(s.review.flagged, "review", {"l0_flagged": F.count_if("flag_l0"), "l1_flagged": F.count_if("flag_l1"),
-                                            "l2_flagged": F.count_if("flag_l2"), "total_review_risky": _ROWS}),
-        _stage(s.calls.metrics, "calls", {"qualifying_captains": _ROWS}),
-        _stage(s.calls.flagged, "calls", {"risky_captains": _ROWS}),
-        _stage(s.cancel.metrics, "ocara", {"qualifying_captains": _ROWS}),
-        _stage(s.cancel.flagged, "ocara", {"risky_captains": _ROWS}),
-        *[_stage(one, stage, {name: F.first(col)}) for stage, group in
-          (("review", s.review.thresholds), ("calls", s.calls.thresholds), ("ocara", s.cancel.thresholds))
-          for name, col in group.items()],
-        _stage(r.risky, "risky", {"total_unique_risky": _ROWS,
-                                  **{n: F.count_if(f"flag_{n}") for n in SIGNAL_ORDER}}),
-        _stage(one, "risky", {"risky_pct": F.first(F.coalesce(
-            F.try_divide(r.risky.agg(_ROWS).scalar(), F.col("_n")), F.lit(0.0)) * 100)}),
-        _stage(r.seed, "seed", {"safe_seed_captains": _ROWS}),
-        _stage(r.live, "new_feedback", {"live_feedback_excluded": F.count_if("excluded")}),
-        _stage(r.rating, "new_feedback", {"rating_screen_excluded": F.count_if("excluded")}),
-        _stage(r.feedback, "new_feedback", {"union": _ROWS}),
-        _stage(applied, "feedback_applied", {n: F.first(n) for n in applied.columns}),
-        _stage(r.nminus1, "final", {"nminus1_after_new_feedback": _ROWS}),
-        _stage(r.final, "final", {"after_shift_filter": _ROWS}),
-        _stage(r.audit, "audit", {"rows": _ROWS, "unique_captains": F.count_distinct(KEY)}),
-    ]
-    return union_all(parts)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    status, s = r.status, r.signals
+    spark = status.sparkSession
+    scope, orders, facts, risky, end = (r._count(x) for x in ("captain-scope", "cohort-orders", "captain-facts", "risk-master",
+                                                              "captain-status"))
+    review, calls, cancel = (r._count(f"flagged-{x}") for x in ("review", "calls", "cancel"))
+    cuts = s.cuts.first().asDict()
+    audit_rows = (facts["chat_captains"] + facts["ticket_rows"] + sum(review[f"{x}_flagged"] for x in ("l0", "l1", "l2"))
+                  + calls["calls_risky"] + cancel["cancel_risky"] + scope["live_excluded"] + scope["rating_excluded"]
+                  + end["off_shift"])
+    rows = {
+        "cohort": {"source_rows": scope["source_rows"], "base_6m_dropped": scope["base_rows"],
+                   "cohort_captains": scope["captains"], "cohort_orders": orders["orders"]},
+        "inappchat": {"captains_flagged": facts["chat_captains"], "female_incidents": facts["female_incidents"],
+                      "male_incidents": facts["male_incidents"]},
+        "ticket": {"tickets_total": facts["tickets_total"], "p0_p1_captains": facts["ticket_captains"]},
+        "review": {**{f"{x}_flagged": review[f"{x}_flagged"] for x in ("l0", "l1", "l2")},
+                   "total_review_risky": review["review_risky"], "p95_l2_threshold": cuts["p95_l2_threshold"]},
+        "calls": {"qualifying_captains": facts["calls_qualifying"], "risky_captains": calls["calls_risky"],
+                  **{c: cuts[c] for c in ("call_rate_threshold", "calls_diff_threshold", "cv_diff_threshold")}},
+        "ocara": {"qualifying_captains": facts["cancel_qualifying"], "risky_captains": cancel["cancel_risky"],
+                  **{c: cuts[c] for c in ("p98_threshold", "p02_threshold", "upper_used", "lower_used")}},
+        "risky": {"total_unique_risky": risky["risky"], **{n: risky[n] for n in SIGNAL_ORDER},
+                  "risky_pct": risky["risky"] / scope["captains"] * 100 if scope["captains"] else 0.0},
+        "seed": {"safe_seed_captains": end["seed"]},
+        "new_feedback": {"live_feedback_excluded": scope["live_excluded"],
+                         "rating_screen_excluded": scope["rating_excluded"], "union": scope["feedback"]},
+        "feedback_applied": {**{n: end[n] for n in ("df_new_feedback_total", "already_in_5signal_risky",
+                                                    "incremental_new_removals", "incremental_in_cohort")},
+                             "seed_before": end["seed"], "nminus1_after": end["nminus1"]},
+        "final": {"nminus1_after_new_feedback": end["nminus1"], "after_shift_filter": end["final"]},
+        "audit": {"rows": audit_rows, "unique_captains": end["audited"]},
+    }
+    lits = [F.struct(F.lit(stage).alias("stage"), F.lit(name).alias("metric"),
+                     F.lit(None if value is None else float(value)).cast("double").alias("value"))
+            for stage, group in rows.items() for name, value in group.items()]
+    return spark.range(1).select(F.inline(F.array(*lits)))

@@ -17,14 +17,14 @@ Each signal returns ``(metrics, flagged)``; the audit log is built from the
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..functions import safe_ratio
-from ..session import materialize
+from ..session import materialize as materialize_stage
 from ..operators import (breach, cap_at, floor_at, lower_tail, max_then_sum, pivot_segments, quantile_col,
                          quantile_row, upper_tail, vote_count)
 from .cohort import FEMALE, MALE, SEG, SEGMENTS
@@ -151,12 +151,15 @@ def sig_review(facts: DataFrame, cfg: RunConfig, cuts: DataFrame) -> Signal:
 
 # ---- Signal 4: calls -------------------------------------------------------
 
+def calls_qualify(cfg: RunConfig) -> Column:
+    return ((F.col(f"rides_{MALE}") >= cfg.min_rides_per_gender) & (F.col(f"rides_{FEMALE}") >= cfg.min_rides_per_gender)
+            & (F.col(f"call_rate_{FEMALE}") > 0.0))
+
+
 def calls_metrics(facts: DataFrame, cfg: RunConfig) -> DataFrame:
     f, m = FEMALE, MALE
     eps = F.lit(cfg.cv_eps)
-    q = (facts.where((F.col(f"rides_{m}") >= cfg.min_rides_per_gender)
-                     & (F.col(f"rides_{f}") >= cfg.min_rides_per_gender)
-                     & (F.col(f"call_rate_{f}") > 0.0))
+    q = (facts.where(calls_qualify(cfg))
          .select(KEY,
                  F.col(f"rides_{f}").alias("ride_count_f"), F.col(f"rides_{m}").alias("ride_count_m"),
                  F.col(f"call_rate_{f}").alias("call_rate_f"), F.col(f"call_rate_{m}").alias("call_rate_m"),
@@ -188,17 +191,25 @@ def cancel_sums(orders: DataFrame) -> DataFrame:
     return max_then_sum(orders, KEY, "order_date", OCARA_COLS, fill=0)
 
 
+def _accepted(segment: str, suffix: str) -> Column:
+    """Rides and cancels of a gender; a captain without cancel counts has 0."""
+    return reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{c}_{suffix}"), F.lit(0)) for c in ("cancels", "cc")],
+                  F.col(f"rides_{segment}"))
+
+
+def cancel_qualify(cfg: RunConfig) -> Column:
+    return ((_accepted(FEMALE, "f") >= cfg.min_rides_per_gender) & (_accepted(MALE, "m") >= cfg.min_rides_per_gender))
+
+
 def cancel_metrics(facts: DataFrame, cfg: RunConfig) -> DataFrame:
     """Accepted = rides + captain cancels + customer cancels per gender; rates and F-M diff.
 
     ``facts`` carries the ``cancel_sums`` columns (see ``SignalSet.facts``).
     """
-    q = (facts.select(KEY, F.col(f"rides_{FEMALE}").alias("rides_f"), F.col(f"rides_{MALE}").alias("rides_m"),
-                      *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in OCARA_COLS])
-         .withColumn("accepted_f", F.col("rides_f") + F.col("cancels_f") + F.col("cc_f"))
-         .withColumn("accepted_m", F.col("rides_m") + F.col("cancels_m") + F.col("cc_m"))
-         .where((F.col("accepted_f") >= cfg.min_rides_per_gender)
-                & (F.col("accepted_m") >= cfg.min_rides_per_gender)))
+    q = (facts.where(cancel_qualify(cfg))
+         .select(KEY, F.col(f"rides_{FEMALE}").alias("rides_f"), F.col(f"rides_{MALE}").alias("rides_m"),
+                 *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in OCARA_COLS],
+                 _accepted(FEMALE, "f").alias("accepted_f"), _accepted(MALE, "m").alias("accepted_m")))
     return (q.withColumn("rate_f", F.try_divide("cancels_f", "accepted_f"))
             .withColumn("rate_m", F.try_divide("cancels_m", "accepted_m"))
             .withColumn("diff", F.col("rate_f") - F.col("rate_m")))
@@ -241,17 +252,31 @@ def thresholds(facts: DataFrame, cfg: RunConfig, materialize: bool = False) -> D
                              "lower_used": lower_tail(F.col("p02_threshold"))})
 
 
+def facts_counts(cfg: RunConfig) -> dict[str, Column]:
+    """Aggregates over the facts table that the run's metrics show."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    rude, rude_f = _both("rude_rows"), F.coalesce(F.col(f"rude_rows_{FEMALE}"), F.lit(0))
+    tiers = [_both(tier_col(t)) > 0 for t in cfg.ticket_tiers_remove]
+    return {"chat_captains": F.count_if(rude > 0), "female_incidents": total(rude_f), "male_incidents": total(rude - rude_f),
+            "tickets_total": total(_both("ticket_rows")),
+            "ticket_captains": F.count_if(reduce(lambda a, b: a | b, tiers, F.lit(False))),
+            "ticket_rows": total(reduce(lambda a, b: a + b, [t.cast("int") for t in tiers], F.lit(0))),
+            "calls_qualifying": F.count_if(calls_qualify(cfg)), "cancel_qualifying": F.count_if(cancel_qualify(cfg))}
+
+
 class SignalSet:
     """The five signals over one per-captain facts table, each built on first use.
 
-    With ``materialize`` the facts table (one row per cohort captain) is
-    stored as parquet in the session's checkpoint folder: every signal, threshold
-    and audit part reads the stored table, so the row-grain work runs once and
-    the later plans stay small.
+    ``store(df, label, counts)`` keeps a stage and takes its ``counts`` (name ->
+    aggregate); with ``materialize`` the stages are parquet in the session's
+    checkpoint folder: every signal, threshold and audit part reads the stored facts
+    (one row per cohort captain), so the row-grain work runs once and the later
+    plans stay small.
     """
 
-    def __init__(self, orders: DataFrame, cfg: RunConfig, materialize: bool = True):
+    def __init__(self, orders: DataFrame, cfg: RunConfig, materialize: bool = True, store=None):
         self.orders, self.cfg, self.materialize = orders, cfg, materialize
+        self._store = store or (lambda df, label, counts: materialize_stage(df, label) if materialize else df)
 
     @cached_property
     def calls_cap(self) -> Column:
@@ -260,15 +285,15 @@ class SignalSet:
     @cached_property
     def facts(self) -> DataFrame:
         f = captain_facts(self.orders, self.cfg, self.calls_cap).join(cancel_sums(self.orders), KEY, "left")
-        return materialize(f, "captain-facts") if self.materialize else f
+        return self._store(f, "captain-facts", facts_counts(self.cfg))
 
     @cached_property
     def cuts(self) -> DataFrame:
         return thresholds(self.facts, self.cfg, self.materialize)
 
-    def _stored(self, sig: Signal, label: str) -> Signal:
+    def _flagged(self, sig: Signal, label: str, **counts: Column) -> Signal:
         """Store a thresholded flagged set (small, per captain)."""
-        return replace(sig, flagged=materialize(sig.flagged, label)) if self.materialize else sig
+        return replace(sig, flagged=self._store(sig.flagged, f"flagged-{label}", {f"{label}_risky": F.count(F.lit(1)), **counts}))
 
     @cached_property
     def chat(self) -> Signal:
@@ -280,15 +305,16 @@ class SignalSet:
 
     @cached_property
     def review(self) -> Signal:
-        return self._stored(sig_review(self.facts, self.cfg, self.cuts), "flagged-review")
+        return self._flagged(sig_review(self.facts, self.cfg, self.cuts), "review",
+                             **{f"{x}_flagged": F.count_if(f"flag_{x}") for x in ("l0", "l1", "l2")})
 
     @cached_property
     def calls(self) -> Signal:
-        return self._stored(sig_calls(self.facts, self.cfg, self.cuts), "flagged-calls")
+        return self._flagged(sig_calls(self.facts, self.cfg, self.cuts), "calls")
 
     @cached_property
     def cancel(self) -> Signal:
-        return self._stored(sig_cancel(self.facts, self.cfg, self.cuts), "flagged-cancel")
+        return self._flagged(sig_cancel(self.facts, self.cfg, self.cuts), "cancel")
 
     def ids(self) -> dict[str, DataFrame]:
         """Flagged captain ids per signal, in the risk-master column order."""
@@ -301,5 +327,5 @@ class SignalSet:
         }
 
 
-def all_signals(orders: DataFrame, cfg: RunConfig, materialize: bool = True) -> SignalSet:
-    return SignalSet(orders, cfg, materialize)
+def all_signals(orders: DataFrame, cfg: RunConfig, materialize: bool = True, store=None) -> SignalSet:
+    return SignalSet(orders, cfg, materialize, store)

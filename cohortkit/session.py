@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -65,6 +65,18 @@ def use_scratch_checkpoint_dir(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def materialize_counted(df, label: str, counts: dict) -> tuple:
+    """``materialize`` with aggregates taken on the way: (stored frame, {name: value}).
+
+    The aggregates (an ``Observation``) sit on top of the written plan, in the stage
+    whose tasks write the files: the driver counts each partition of that stage
+    once, so retried and speculative tasks add nothing.
+    """
+    seen = Observation()
+    stored = materialize(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), label)
+    return stored, dict(seen.get)
+
+
 def materialize(df, label: str = "stage"):
     """Write ``df`` as parquet under the session's checkpoint folder and read it back.
 
