@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stage
+from .common import pieces, spare, stage
 
 SEAM = 0x110000  # no character: parts texts that are scanned together
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -297,5 +297,6 @@ def leaks(patterns: Patterns, table: np.ndarray, texts: list, base: int = 0) ->
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, how: Decontam = Decontam(), **cols) -> DataFrame:
     """The documents without a leak, with the columns of ``docs``; a document with a null id is judged with the null ids."""
-    bad = stage(find_leaks(docs, benchmark, how, **cols).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    hit, = spare(docs, "_bad")
+    bad = stage(find_leaks(docs, benchmark, how, **cols).select(F.col("doc_id").alias(hit)).distinct(), "leaks")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(hit)), "left_anti")

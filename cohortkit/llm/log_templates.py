@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, stage
+from .common import WHITE, spare, stage
 
 FIELD = "<*>"
 
@@ -90,15 +90,16 @@ def drop_templates(docs: DataFrame, how: Tree = Tree(), id_col: str = "doc_id",
     lines, keys = recurring(docs, how, id_col=id_col, text_col=text_col)
     flags = (lines.join(keys, F.col("key") == F.col("_key"), "left")
              .groupBy("doc_id", "line_no").agg(F.max(F.col("_key").isNotNull()).alias("hit")))
-    flags = flags.groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "hit"))).alias("_flags"))
-    flags = stage(flags.select("_doc", F.transform("_flags", lambda x: x["hit"]).alias("_hit"))
-                  .filter(F.array_contains("_hit", True)), "template-flags")
-    out = docs.join(flags.hint("merge"), F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+    doc, hit = spare(docs, "_doc", "_hit")
+    flags = flags.groupBy(F.col("doc_id").alias(doc)).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "hit"))).alias("flags"))
+    flags = stage(flags.select(doc, F.transform("flags", lambda x: x["hit"]).alias(hit))
+                  .filter(F.array_contains(hit, True)), "template-flags")
+    out = docs.join(flags.hint("merge"), F.col(id_col).eqNullSafe(F.col(doc)), "left")
     split = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.coalesce(F.get(F.col("_hit"), i), F.lit(False))), "\n")
-    gone = F.coalesce(F.size(F.filter("_hit", lambda x: x)), F.lit(0))
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.coalesce(F.get(F.col(hit), i), F.lit(False))), "\n")
+    gone = F.coalesce(F.size(F.filter(hit, lambda x: x)), F.lit(0))
     return out.select(
-        *[F.when(F.col("_hit").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c)
+        *[F.when(F.col(hit).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c)
           for c in docs.columns],
         F.coalesce(F.size(split), F.lit(0)).cast("int").alias("n_lines"), gone.cast("int").alias("n_dropped"))

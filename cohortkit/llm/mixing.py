@@ -36,7 +36,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import spare, stage
 
 DIMS = ("source", "lang", "topic")
 
@@ -180,7 +180,9 @@ def sample(docs: DataFrame, how: Mix = Mix(), topic: Column | None = None, text:
     """The documents drawn, with the columns of ``docs``: those whose draw is below their cell's probability."""
     prob = probabilities(strata(docs, topic, text), how)
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
-    own = {"_c_source": none("source"), "_c_lang": none("lang"), "_c_topic": default_topic(text) if topic is None else topic}
-    keys = prob.select(*[F.col(d).alias(f"_p_{d}") for d in DIMS], F.col("prob").alias("_prob"))
-    out = docs.withColumns(own).join(keys, [F.col(f"_c_{d}") == F.col(f"_p_{d}") for d in DIMS])
-    return out.filter(draw(how.seed) < F.col("_prob")).select(*docs.columns)
+    mine, other = spare(docs, *[f"_c_{d}" for d in DIMS]), spare(docs, *[f"_p_{d}" for d in DIMS])
+    share, = spare(docs, "_prob")
+    own = dict(zip(mine, (none("source"), none("lang"), default_topic(text) if topic is None else topic)))
+    keys = prob.select(*[F.col(d).alias(o) for d, o in zip(DIMS, other)], F.col("prob").alias(share))
+    out = docs.withColumns(own).join(keys, [F.col(m) == F.col(o) for m, o in zip(mine, other)])
+    return out.filter(draw(how.seed) < F.col(share)).select(*docs.columns)

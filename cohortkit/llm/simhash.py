@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stage
+from .common import shuffle_partitions, spare, stage
 from .components import components
 
 BITS = 64
@@ -325,14 +325,19 @@ def hex16(fp):
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The document with the smallest id of each group, with all columns of ``docs``.
 
-    Of repeated rows (equal id and text) one stays.
+    Rows are told apart by id and text: of a repeated id only the rows whose own text leads its group stay, of
+    different texts with the smallest id the one of the least hash, and of equal rows one.
     """
     from pyspark.sql import Window
 
-    groups = simhash_groups(docs, **how)
-    first = stage(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                  .select(F.col("doc_id").alias("_first")).distinct(), "simhash-first")
+    first, nth = spare(docs, "_first", "_nth")
+    # a null id comes after all others
+    own = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    groups = simhash_groups(docs.select(own.alias("row"), "text"), id_col="row", **how)
+    lead = stage(groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(first)).distinct(),
+                 "simhash-first")
     # one plan at every size: the texts move once, by id
-    kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    ids = F.col("doc_id").eqNullSafe(F.col(f"{first}.id")) & (F.xxhash64("text") == F.col(f"{first}.h"))
+    kept = docs.join(lead.hint("merge"), ids, "left_semi")
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return kept.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*docs.columns)
+    return kept.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).select(*docs.columns)
