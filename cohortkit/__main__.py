@@ -1,7 +1,8 @@
 """Run the job: ``python -m cohortkit --wide <parquet> --out <dir> [--as-of YYYY-MM-DD]``.
 
 ``--sources t1=<table or path> ... t11=<...>`` builds the wide table from the
-eleven sources first (``--base-out`` keeps it).  Uses the active/default
+eleven sources first (``--base-out`` keeps it).  The outputs are published by
+the manifest ``<dir>/manifest_<tag>.json``.  Uses the active/default
 session; the checkpoint folder is the session's ``spark.checkpoint.dir``.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import SparkSession
 from .config import production_config
 from .plans import build_base_table, run_seeding
 from .session import materialize
-from .sources import read_sources, write_outputs
+from .sources import read_parquet, read_sources, write_outputs
 
 
 def main(argv=None) -> None:
@@ -37,7 +38,7 @@ def main(argv=None) -> None:
             wide = materialize(wide, "wide")
     elif args.wide:
         w = args.wide
-        wide = spark.read.parquet(w) if ("/" in w or ":" in w) else spark.table(w)
+        wide = read_parquet(spark, w) if ("/" in w or ":" in w) else spark.table(w)
     else:
         ap.error("give --wide or --sources")
     run = run_seeding(wide, cfg)

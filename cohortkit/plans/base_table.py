@@ -52,9 +52,11 @@ def _days(col: str, cfg: RunConfig):
     return F.col(col).between(F.lit(cfg.day_from), F.lit(cfg.day_to))
 
 
-def order_scope(src: Sources, cfg: RunConfig) -> DataFrame:
-    """``olf``: order log rows in the day range, service category and cities."""
+def order_scope(src: Sources, cfg: RunConfig, days: tuple[str, str] | None = None) -> DataFrame:
+    """``olf``: order log rows in the day range (or the part ``days`` of it), service category and cities."""
     t1 = src["t1"]
+    if days:
+        t1 = t1.where(F.col("yyyymmdd").between(F.lit(days[0]), F.lit(days[1])))
     return (t1.where(_days("yyyymmdd", cfg) & F.col("service_category").isin(list(cfg.service_categories))
                      & F.col("city").isin(list(cfg.city_ids)))
             .select("order_id", "order_date", "captain_id", "customer_id",
@@ -200,15 +202,18 @@ def captain_day_facts(src: Sources, olf: DataFrame, cfg: RunConfig) -> DataFrame
             .withColumnsRenamed({"captain_id": "cf_captain_id", "yyyymmdd": "cf_yyyymmdd"}))
 
 
-def build_base_table(src: Sources, cfg: RunConfig) -> DataFrame:
-    """The 33-column order-grain table (+ ``mobile``).
+def build_base_table(src: Sources, cfg: RunConfig, days: tuple[str, str] | None = None) -> DataFrame:
+    """The 33-column order-grain table (+ ``mobile``), of all days or of the order days ``days`` (first, last).
+
+    The side tables are always read over the whole range: an order's labels, calls
+    and answers may be of a later day than the order.
 
     Captain mapping and cancel counts meet at the narrow (captain, day) grain, so
     the order rows are shuffled for both at once, and a hot captain by its days.
     That table is stored: the join with it has a plain shuffle on both sides,
     which adaptive execution can split further.
     """
-    olf = order_scope(src, cfg)
+    olf = order_scope(src, cfg, days)
     cf = materialize(captain_day_facts(src, olf, cfg), "captain-day-facts")
     cd = calls_per_order(src, cfg)
     tl = text_labels(src, cfg)
@@ -219,3 +224,14 @@ def build_base_table(src: Sources, cfg: RunConfig) -> DataFrame:
     tl = tl.withColumnsRenamed({"order_id": "tl_order_id", "captain_id": "tl_captain_id"})
     w = w.join(tl, (w.order_id == tl.tl_order_id) & (w.captain_id == tl.tl_captain_id), "left")
     return w.select(*WIDE_COLUMNS)
+
+
+def refresh_days(src: Sources, cfg: RunConfig, path: str, first: str, last: str) -> None:
+    """Build the order days ``first`` .. ``last`` of the wide table at ``path`` anew; other days stay as they are.
+
+    The table is partitioned by day, and only the partitions written are replaced, so
+    a rerun gives the same table.  A day whose orders have all gone from the sources
+    writes nothing and keeps its old partition.
+    """
+    (build_base_table(src, cfg, (first, last)).repartition("yyyymmdd", F.pmod(F.xxhash64("order_id"), F.lit(8)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("yyyymmdd").parquet(path))

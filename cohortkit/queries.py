@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import RunConfig, fixture_config
@@ -21,7 +21,8 @@ from .plans import base_table as bt
 from .plans.seeding import audit_top, run_seeding
 from .session import checkpoint_dir, materialize, use_scratch_checkpoint_dir
 from .sources.fixtures import source_views, wide_view
-from .sources.sinks import write_outputs
+from .sources.catalog import read_parquet, read_sources
+from .sources.sinks import read_manifest, read_output, write_outputs
 
 CFG: RunConfig = fixture_config()
 
@@ -69,12 +70,37 @@ def _thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return r.cohort.ids.agg(F.count(F.lit(1)).alias("_n")).select(F.inline(arr))
 
 
-def _sink(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """An output of the run as its CSV sink wrote it, read back with the output's types."""
-    run = _run(spark, sf)
-    paths = write_outputs(run, f"{checkpoint_dir(spark).rstrip('/')}/cohortkit/sinks-{uuid.uuid4().hex}")
-    frame = {"final": run.final, "risk": run.risky, "seed": run.seed, "audit": run.audit}[name]
-    return spark.read.option("header", True).schema(frame.schema).csv(paths[name])
+def _fresh(spark: SparkSession, label: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/cohortkit/{label}-{uuid.uuid4().hex}"
+
+
+def _sink(spark: SparkSession, sf: str, name: str, numbered: bool = False) -> DataFrame:
+    """An output of the run as its CSV sink published it, read back through the manifest with the output's types."""
+    run, out = _run(spark, sf), _fresh(spark, "sinks")
+    write_outputs(run, out)
+    rows = read_output(spark, out, run.cfg.run_tag, name, numbered)
+    return rows.withColumn("run_tag", F.lit(read_manifest(spark, out, run.cfg.run_tag)["tag"])) if numbered else rows
+
+
+def _refreshed(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide table built day range by day range, the first one twice."""
+    src, path = source_views(spark, sf), _fresh(spark, "wide-by-day")
+    half = (CFG.day_from, "19991001"), ("19991002", CFG.day_to)
+    for first, last in (*half, half[0]):
+        bt.refresh_days(src, CFG, path, first, last)
+    return read_parquet(spark, path).select(*bt.WIDE_COLUMNS)
+
+
+def _by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide table from sources read by path, the order log and cancel events stored partitioned by day."""
+    paths = {}
+    for name, df in source_views(spark, sf).items():
+        paths[name] = _fresh(spark, f"source-{name}")
+        if name in ("t1", "t5"):
+            df.repartition("yyyymmdd").write.partitionBy("yyyymmdd").parquet(paths[name])
+        else:
+            df.write.parquet(paths[name])
+    return bt.build_base_table(read_sources(spark, paths), CFG)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -123,6 +149,14 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # the CSV sinks, written and read back
         "sink_final_list": lambda s, d: _sink(s, d, "final"),
         "sink_risk_master": lambda s, d: _sink(s, d, "risk"),
+        "published_final_order": lambda s, d: _sink(s, d, "final", numbered=True),
+        "published_risk_order": lambda s, d: _sink(s, d, "risk", numbered=True),
+        # the wide table by parts of its days, and from sources partitioned by day
+        "base_table_refreshed": _refreshed,
+        "base_table_by_day": _by_day,
+        # sorted distinct signals of the audit log
+        "audit_signals": lambda s, d: _run(s, d).audit.select("signal").distinct().select(
+            "signal", F.row_number().over(Window.orderBy("signal")).alias("place")),  # ten signals at most
         # the scoring run fed by the base-table build instead of the direct view
         "base_cohort_stats": lambda s, d: _run(s, d, source="base").cohort.stats,
         "base_final_list": lambda s, d: _run(s, d, source="base").final,
@@ -245,6 +279,14 @@ def oracle_queries(cfg: RunConfig = CFG) -> dict[str, str]:
         "final_list_shift": sql(replace(cfg, apply_shift_filter=True), ["final_list"], "SELECT * FROM final_list"),
         "sink_final_list": S(["final_list"], "SELECT * FROM final_list"),
         "sink_risk_master": S(["risk_master"], "SELECT * FROM risk_master"),
+        "published_final_order": S(["final_list"], "SELECT row_number() OVER (ORDER BY captain_id) AS row_no, *, "
+                                                   f"'{cfg.run_tag}' AS run_tag FROM final_list"),
+        "published_risk_order": S(["risk_master"], "SELECT row_number() OVER (ORDER BY total_signals DESC, captain_id) "
+                                                   f"AS row_no, *, '{cfg.run_tag}' AS run_tag FROM risk_master"),
+        "base_table_refreshed": S(["base_table"], "SELECT * FROM base_table"),
+        "base_table_by_day": S(["base_table"], "SELECT * FROM base_table"),
+        "audit_signals": S(["audit"], "SELECT signal, CAST(row_number() OVER (ORDER BY signal) AS INTEGER) AS place "
+                                      "FROM (SELECT DISTINCT signal FROM audit)"),
         "base_cohort_stats": S(["female_stats"], "SELECT * FROM female_stats", wide="base_table"),
         "base_final_list": S(["final_list"], "SELECT * FROM final_list", wide="base_table"),
         "base_audit_log": S(["audit"], "SELECT * FROM audit", wide="base_table"),
