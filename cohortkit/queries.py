@@ -92,11 +92,11 @@ def _refreshed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _by_day(spark: SparkSession, sf: str) -> DataFrame:
-    """The wide table from sources read by path, the order log and cancel events stored partitioned by day."""
+    """The wide table from sources read by path, the order log stored partitioned by day."""
     paths = {}
     for name, df in source_views(spark, sf).items():
         paths[name] = _fresh(spark, f"source-{name}")
-        if name in ("t1", "t5"):
+        if name == "t1":
             df.repartition("yyyymmdd").write.partitionBy("yyyymmdd").parquet(paths[name])
         else:
             df.write.parquet(paths[name])
