@@ -12,9 +12,22 @@ from ..session import checkpoint_dir, materialize, use_scratch_checkpoint_dir
 WHITE = r"[\x20\x09-\x0D]+"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
-    return materialize(df, f"llm-{label}")
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go with its end; they would otherwise stay on disk
+    until the driver's garbage collector meets them.
+    """
+    conf = df.sparkSession.conf
+    had = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialize(df, f"llm-{label}")
+    finally:
+        conf.unset(CLEANUP) if had is None else conf.set(CLEANUP, had)
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
