@@ -30,6 +30,7 @@ from ..config import (CANCEL_EVENT_TYPES, LIVE_FEEDBACK_TAG, RATING_SCREEN_TAG,
 from ..functions import first_match, isin_ci
 from ..operators import keep, latest_per_key, latest_per_key_by_case
 from ..session import materialize
+from .latest_state import SERVICE, SNAPSHOT, rows_of
 
 Sources = Mapping[str, DataFrame]
 
@@ -74,12 +75,20 @@ def captain_days(olf: DataFrame) -> DataFrame:
     return olf.select("captain_id", "yyyymmdd").where(F.col("captain_id").isNotNull()).distinct()
 
 
-def latest_service(src: Sources, base: DataFrame) -> DataFrame:
-    """Latest service-names row per captain (ranked before the class filter) and its class."""
-    t2 = src["t2"].withColumnRenamed("riderinfo__userid", "captain_id")
-    t2 = keep(t2, base, "captain_id")
-    last = latest_per_key(t2, ["captain_id"], order=["updated_epoch"],
-                          payload=["riderinfo__servicenames", "updated_epoch"])
+def service_history(src: Sources) -> DataFrame:
+    return src["t2"].withColumnRenamed("riderinfo__userid", "captain_id")
+
+
+def latest_service(src: Sources, base: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Latest service-names row per captain (ranked before the class filter) and its class.
+
+    With ``state`` (a stored ``latest_state.SERVICE``) the history is not read.
+    """
+    if state is None:
+        last = latest_per_key(keep(service_history(src), base, SERVICE.key), [SERVICE.key], order=SERVICE.order,
+                              payload=SERVICE.payload)
+    else:
+        last = keep(rows_of(state, SERVICE), base, SERVICE.key)
     return last.withColumn("service_type", first_match(F.col("riderinfo__servicenames"), SERVICE_CLASSES,
                                                        SERVICE_CLASS_DEFAULT))
 
@@ -91,12 +100,18 @@ def service_class(src: Sources) -> DataFrame:
                                                         SERVICE_CLASS_DEFAULT))
 
 
-def rider_snapshot(src: Sources, base: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Latest *active* snapshot row per captain, kept when its city is in scope."""
-    t3 = src["t3"].withColumnRenamed("_id", "captain_id").where(F.col("active") == True)  # noqa: E712
-    t3 = keep(t3, base, "captain_id")
-    last = latest_per_key(t3, ["captain_id"], order=["created_on"],
-                          payload=["shift_name", "mobile", "city"])
+def active_snapshots(src: Sources) -> DataFrame:
+    return src["t3"].withColumnRenamed("_id", "captain_id").where(F.col("active") == True)  # noqa: E712
+
+
+def rider_snapshot(src: Sources, base: DataFrame, cfg: RunConfig, state: DataFrame | None = None) -> DataFrame:
+    """Latest *active* snapshot row per captain, kept when its city is in scope; from ``state``
+    (a stored ``latest_state.SNAPSHOT``) if given."""
+    if state is None:
+        last = latest_per_key(keep(active_snapshots(src), base, SNAPSHOT.key), [SNAPSHOT.key], order=SNAPSHOT.order,
+                              payload=SNAPSHOT.payload)
+    else:
+        last = keep(rows_of(state, SNAPSHOT), base, SNAPSHOT.key)
     return last.where(F.col("city").isin(list(cfg.city_ids)))
 
 
@@ -105,11 +120,14 @@ def mode_captains(src: Sources, base: DataFrame, cfg: RunConfig) -> DataFrame:
     return keep(t4, base, "captain_id").distinct()
 
 
-def captain_mapping(src: Sources, olf: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Captains whose latest class is not 'others', with an in-scope active snapshot and the mode."""
-    base = captain_base(olf)
-    csi = latest_service(src, base).where(F.col("service_type") != SERVICE_CLASS_DEFAULT)
-    rs = rider_snapshot(src, base, cfg)
+def captain_mapping(src: Sources, olf: DataFrame, cfg: RunConfig, states: Sources | None = None) -> DataFrame:
+    """Captains whose latest class is not 'others', with an in-scope active snapshot and the mode.
+
+    ``states``: stored latest rows for t2 and t3, by those names, read in place of the histories.
+    """
+    base, states = captain_base(olf), states or {}
+    csi = latest_service(src, base, states.get("t2")).where(F.col("service_type") != SERVICE_CLASS_DEFAULT)
+    rs = rider_snapshot(src, base, cfg, states.get("t3"))
     csj = mode_captains(src, base, cfg)
     cm = keep(csi.join(rs, "captain_id", "inner"), csj, "captain_id")
     return cm.select(F.col("captain_id").alias("cm_captain_id"), "riderinfo__servicenames", "service_type",
@@ -191,10 +209,10 @@ def feedback_merge(src: Sources, cfg: RunConfig) -> DataFrame:
     )
 
 
-def captain_day_facts(src: Sources, olf: DataFrame, cfg: RunConfig) -> DataFrame:
+def captain_day_facts(src: Sources, olf: DataFrame, cfg: RunConfig, states: Sources | None = None) -> DataFrame:
     """Mapping and cancel counts of every (captain, day) of the order log whose captain is mapped."""
     days = materialize(captain_days(olf), "captain-days")
-    cm = captain_mapping(src, days, cfg)
+    cm = captain_mapping(src, days, cfg, states)
     oc = cancel_counts(src, cfg)
     d = days.join(cm, days.captain_id == cm.cm_captain_id, "inner").drop("cm_captain_id")
     d = d.join(oc, (d.captain_id == oc.ocara_captain_id) & (d.yyyymmdd == oc.ocara_yyyymmdd), "left")
@@ -202,7 +220,8 @@ def captain_day_facts(src: Sources, olf: DataFrame, cfg: RunConfig) -> DataFrame
             .withColumnsRenamed({"captain_id": "cf_captain_id", "yyyymmdd": "cf_yyyymmdd"}))
 
 
-def build_base_table(src: Sources, cfg: RunConfig, days: tuple[str, str] | None = None) -> DataFrame:
+def build_base_table(src: Sources, cfg: RunConfig, days: tuple[str, str] | None = None, by_order: bool = False,
+                     states: Sources | None = None) -> DataFrame:
     """The 33-column order-grain table (+ ``mobile``), of all days or of the order days ``days`` (first, last).
 
     The side tables are always read over the whole range: an order's labels, calls
@@ -212,18 +231,30 @@ def build_base_table(src: Sources, cfg: RunConfig, days: tuple[str, str] | None
     the order rows are shuffled for both at once, and a hot captain by its days.
     That table is stored: the join with it has a plain shuffle on both sides,
     which adaptive execution can split further.
+
+    ``by_order``: the order log is bucketed by order id (``sources.bucketed``).  The
+    joins by order then come first and read it in place, and the order rows move once,
+    by (captain, day).  The labels' join by (order, captain) uses the buckets only
+    where ``spark.sql.requireAllClusterKeysForCoPartition`` is false; otherwise the
+    order rows move for it as well.  Without buckets the captain join comes first, as
+    it drops the rows of unmapped captains before the other shuffles.
+
+    ``states``: see ``captain_mapping``.
     """
     olf = order_scope(src, cfg, days)
-    cf = materialize(captain_day_facts(src, olf, cfg), "captain-day-facts")
+    cf = materialize(captain_day_facts(src, olf, cfg, states), "captain-day-facts")
     cd = calls_per_order(src, cfg)
-    tl = text_labels(src, cfg)
+    tl = text_labels(src, cfg).withColumnsRenamed({"order_id": "tl_order_id", "captain_id": "tl_captain_id"})
     nf = feedback_merge(src, cfg)
-    w = olf.join(cf, (olf.captain_id == cf.cf_captain_id) & (olf.yyyymmdd == cf.cf_yyyymmdd), "inner")
+
+    def with_captain_day(w: DataFrame) -> DataFrame:
+        return w.join(cf, (w.captain_id == cf.cf_captain_id) & (w.yyyymmdd == cf.cf_yyyymmdd), "inner")
+
+    w = olf if by_order else with_captain_day(olf)
     w = w.join(cd, w.order_id == cd.cd_order_id, "left")
     w = w.join(nf, w.order_id == nf.newfeedback_order_id, "left")
-    tl = tl.withColumnsRenamed({"order_id": "tl_order_id", "captain_id": "tl_captain_id"})
     w = w.join(tl, (w.order_id == tl.tl_order_id) & (w.captain_id == tl.tl_captain_id), "left")
-    return w.select(*WIDE_COLUMNS)
+    return (with_captain_day(w) if by_order else w).select(*WIDE_COLUMNS)
 
 
 def refresh_days(src: Sources, cfg: RunConfig, path: str, first: str, last: str) -> None:

@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 from .config import RunConfig, fixture_config
 from .oracle.pipeline_sql import r6, service_case, sql
 from .plans import base_table as bt
+from .plans import latest_state as ls
 from .plans.seeding import audit_top, run_seeding
 from .session import checkpoint_dir, materialize, use_scratch_checkpoint_dir
+from .sources.bucketed import bucket_by_order
 from .sources.fixtures import source_views, wide_view
 from .sources.catalog import read_parquet, read_sources
 from .sources.sinks import read_manifest, read_output, write_outputs
 
 CFG: RunConfig = fixture_config()
+NO_SUCH_STATUS = replace(CFG, dropped_status="lost")  # a scope that no row of the table meets
 
 
 def _r6(df: DataFrame, cols) -> DataFrame:
@@ -47,8 +50,6 @@ def _run(spark: SparkSession, sf: str, cfg: RunConfig = CFG, source: str = "w1")
     elif source == "w1_blank":  # female orders have lost their ids
         female = F.col("customer_gender") == cfg.female_code
         wide = wide_view(spark, sf).withColumn("order_id", F.when(~female, F.col("order_id")))
-    elif source == "w1_empty":
-        wide = wide_view(spark, sf).where(F.lit(False))
     else:
         wide = bt.build_base_table(source_views(spark, sf), cfg)
     return run_seeding(materialize(wide, f"wide-{source}"), cfg)
@@ -103,6 +104,37 @@ def _by_day(spark: SparkSession, sf: str) -> DataFrame:
     return bt.build_base_table(read_sources(spark, paths), CFG)
 
 
+def _bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide table from an order log and calls bucketed by order id, and from folded states of the captains' rows."""
+    src = source_views(spark, sf)
+    src = bucket_by_order(src, _table_name("orders"), _fresh(spark, "bucketed"), 16)
+    states = {"t2": _folded(spark, bt.service_history(src), ls.SERVICE), "t3": _folded(spark, bt.active_snapshots(src), ls.SNAPSHOT)}
+    return bt.build_base_table(src, CFG, by_order=True, states=states)
+
+
+def _table_name(label: str) -> str:
+    return f"cohortkit_{label}_{uuid.uuid4().hex}"
+
+
+def _folded(spark: SparkSession, rows: DataFrame, what: ls.Latest, days: int = 3) -> DataFrame:
+    """A state of all rows: those before the last ``days`` days in one fold, then day by day, the newest day
+    first and the oldest of them twice (late and repeated days)."""
+    rows, what = materialize(rows, "history"), replace(what, buckets=16)
+    day = F.to_date(what.order[0])
+    last = [r.day for r in rows.select(day.alias("day")).where("day is not null").distinct().orderBy(F.desc("day")).limit(days).collect()]
+    early = rows.where(F.coalesce(~day.isin(last), F.lit(True))) if last else rows
+    state = None
+    for part in [early, *[rows.where(day == d) for d in [*last, *last[-1:]]]]:
+        state = ls.fold(state, part, what, _table_name("state"), _fresh(spark, "state"))
+    return state
+
+
+def _latest_service_daily(spark: SparkSession, sf: str) -> DataFrame:
+    src = source_views(spark, sf)
+    state = _folded(spark, bt.service_history(src), ls.SERVICE)
+    return bt.latest_service(src, bt.captain_base(bt.order_scope(src, CFG)), state)
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     src = source_views
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -141,10 +173,10 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "audit_log": lambda s, d: _run(s, d).audit,
         "audit_top5": lambda s, d: audit_top(_run(s, d).audit, CFG.top_k_audit),
         "funnel_metrics": lambda s, d: _r6(_run(s, d).metrics(), ["value"]),
-        # spoilt and empty input, shift filter on
+        # spoilt input, a scope without rows, shift filter on
         "normalize_text": lambda s, d: _run(s, d, source="w1_dated").cohort.stats,
         "review_null_orders": lambda s, d: _r6(_run(s, d, source="w1_blank").signals.review.metrics, L2_DOUBLES),
-        "cohort_empty": lambda s, d: _run(s, d, source="w1_empty").cohort.ids,
+        "cohort_empty": lambda s, d: _run(s, d, NO_SUCH_STATUS).cohort.ids,
         "final_list_shift": lambda s, d: _run(s, d, replace(CFG, apply_shift_filter=True)).final,
         # the CSV sinks, written and read back
         "sink_final_list": lambda s, d: _sink(s, d, "final"),
@@ -154,6 +186,9 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # the wide table by parts of its days, and from sources partitioned by day
         "base_table_refreshed": _refreshed,
         "base_table_by_day": _by_day,
+        # from bucketed sources and folded states
+        "base_table_bucketed": _bucketed,
+        "latest_service_daily": _latest_service_daily,
         # sorted distinct signals of the audit log
         "audit_signals": lambda s, d: _run(s, d).audit.select("signal").distinct().select(
             "signal", F.row_number().over(Window.orderBy("signal")).alias("place")),  # ten signals at most
@@ -275,7 +310,7 @@ def oracle_queries(cfg: RunConfig = CFG) -> dict[str, str]:
         "normalize_text": S(["female_stats"], "SELECT * FROM female_stats", wide="w1_dated"),
         "review_null_orders": S(["review_l2"], "SELECT captain_id, l2_count_f, l2_count_m, total_rides_f, total_rides_m, "
                                                + _cols("", L2_DOUBLES) + " FROM review_l2", wide="w1_blank"),
-        "cohort_empty": S(["cohort"], "SELECT captain_id FROM cohort", wide="w1_empty"),
+        "cohort_empty": sql(NO_SUCH_STATUS, ["cohort"], "SELECT captain_id FROM cohort"),
         "final_list_shift": sql(replace(cfg, apply_shift_filter=True), ["final_list"], "SELECT * FROM final_list"),
         "sink_final_list": S(["final_list"], "SELECT * FROM final_list"),
         "sink_risk_master": S(["risk_master"], "SELECT * FROM risk_master"),
@@ -285,6 +320,8 @@ def oracle_queries(cfg: RunConfig = CFG) -> dict[str, str]:
                                                    f"AS row_no, *, '{cfg.run_tag}' AS run_tag FROM risk_master"),
         "base_table_refreshed": S(["base_table"], "SELECT * FROM base_table"),
         "base_table_by_day": S(["base_table"], "SELECT * FROM base_table"),
+        "base_table_bucketed": S(["base_table"], "SELECT * FROM base_table"),
+        "latest_service_daily": S(["latest_service"], "SELECT * FROM latest_service"),
         "audit_signals": S(["audit"], "SELECT signal, CAST(row_number() OVER (ORDER BY signal) AS INTEGER) AS place "
                                       "FROM (SELECT DISTINCT signal FROM audit)"),
         "base_cohort_stats": S(["female_stats"], "SELECT * FROM female_stats", wide="base_table"),
