@@ -374,8 +374,6 @@ def test_mixing_meets_targets(spark, docs, odd, empty):
     assert kept == set(got[got.kept].doc_id)
     assert mixing.mix(odd).count() == odd.count() and mixing.sample(odd).columns == odd.columns
     assert mixing.mix(empty).count() == 0 and mixing.sample(empty).count() == 0
-    pooled = mixing.mix(docs, mixing.Mix(max_categories=2))
-    assert pooled.count() == docs.count()
 
 
 def test_mixing_rare_category_does_not_set_the_scale(spark, docs):
@@ -388,11 +386,55 @@ def test_mixing_rare_category_does_not_set_the_scale(spark, docs):
     assert share(got) >= 0.4 - 1e-3 and abs(share(got) - share(plain)) < 0.02
 
 
-def test_mixing_named_categories_are_not_pooled(spark):
-    cells = spark.createDataFrame([("a", 9), ("b", 8), ("c", 2), ("d", 1)], "source string, tokens long")
-    got = {r.category: r.stratum for r in mixing.pooled(cells, "source", 2, ("d",)).collect()}
-    assert got == {"a": "a", "b": "b", "c": "(other)", "d": "d"}
-    assert {r.stratum for r in mixing.pooled(cells, "source", 2).collect()} == {"a", "b", "(other)"}
+def brute_rake(cells, how):
+    """{cell: prob} by plain IPF, then the same with the inclusion bound, over NumPy arrays."""
+    tokens = np.array([float(n) for *_, n in cells])
+    group = [np.unique([c[i] for c in cells], return_inverse=True) for i in range(3)]
+    margin = lambda x, i: np.bincount(group[i][1], x)
+    w, target = tokens / tokens.sum(), []
+    for i, d in enumerate(mixing.DIMS):
+        named = how.targets.get(d, {})
+        flat = np.array([0.0 if c in named else m ** how.temperature[d] for c, m in zip(group[i][0], margin(w, i))])
+        fixed = np.array([named.get(c, 0.0) for c in group[i][0]])
+        target.append(fixed + flat / flat.sum() * max(0.0, 1 - fixed.sum()))
+    for _ in range(how.sweeps):
+        for i in range(3):
+            w = w * (target[i] / margin(w, i))[group[i][1]]
+    ratio = w / tokens
+    over = [r for r in ratio if w[ratio >= r].sum() > how.at_bound]
+    kept = min(1.0, max(how.min_kept, 1 / (max(over or ratio) * tokens.sum())))
+    cap = tokens / (tokens.sum() * kept)
+    for i in range(3):
+        t, has = target[i], margin(cap, i)
+        for _ in range(4):
+            t = np.minimum(t, has)
+            free = np.where(t < has, t, 0.0)
+            t = t + (free * (1 - t.sum()) / free.sum() if free.any() else 0)
+        target[i] = t
+    w = np.minimum(w, cap)
+    for _ in range(how.sweeps):
+        for i in range(3):
+            w = np.minimum(cap, w * (target[i] / margin(w, i))[group[i][1]])
+    for _ in range(4):
+        w = np.minimum(cap, w / w.sum())
+    return {tuple(c[:3]): min(1.0, x) for c, x in zip(cells, w / cap)}
+
+
+@pytest.mark.parametrize("one_task_cells, n_sources, sweeps", [(10 ** 6, 1000, 12), (0, 300, 1)])
+def test_mixing_rakes_every_category(spark, one_task_cells, n_sources, sweeps):
+    """No category is pooled, whatever their number, in one task or over many; the same as plain IPF."""
+    how = mixing.Mix(targets={"lang": {"fr": 0.3}, "source": {"s7": 0.05}}, one_task_cells=one_task_cells, sweeps=sweeps)
+    cells = [(f"s{i}", lang, topic, 1 + (i * 37 + j * 11 + k * 5) % 97) for i in range(n_sources) for j, lang in enumerate(("en", "fr", "de"))
+             for k, topic in enumerate(("a", "b")) if (i + j + k) % 3]
+    df = common.stage(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), "test-cells")
+    got = {(r.source, r.lang, r.topic): r.prob for r in mixing.rake(df, how).collect()}
+    want = brute_rake(cells, how)
+    assert got.keys() == want.keys() and max(abs(got[c] - want[c]) for c in want) < 1e-9
+    if sweeps > 1:  # the marginals hold: by source, too
+        size = {c[:3]: c[3] for c in cells}
+        mass = sum(size[c] * p for c, p in got.items())
+        share = lambda i, v: sum(size[c] * p for c, p in got.items() if c[i] == v) / mass
+        assert abs(share(1, "fr") - 0.3) < 5e-3 and len({c[0] for c in got}) == n_sources
 
 
 # -- 9 ------------------------------------------------------------------------
