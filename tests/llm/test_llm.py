@@ -136,25 +136,63 @@ def test_warc_round_trip(spark):
 # -- 3 ------------------------------------------------------------------------
 
 def brute_templates(texts, how):
-    keys, where = defaultdict(set), {}
+    """{(doc, line)} that go, by plain counting: stretches in a leaf, the commonest tokens, the share that agrees."""
+    docs_of, lines_of, lines = defaultdict(set), defaultdict(list), {}
     for d, t in texts.items():
         for i, line in enumerate((t or "").split("\n")):
-            w = ["<*>" if re.search("[0-9]", x) else x for x in WORDS.findall(line)]
-            if len(w) >= how.min_tokens:
-                half = len(w) // 2
-                where[d, i] = [(len(w), 1, *w[:len(w) - half]), (len(w), 2, *w[:how.depth], "|", *w[len(w) - half:])]
-                for k in where[d, i]:
-                    keys[k].add(d)
-    return {x for x, ks in where.items() if any(len(keys[k]) >= how.min_docs for k in ks)}
-
-
-def test_log_templates_brute_force(docs, texts):
-    how = log_templates.Tree(min_docs=3)
+            raw = WORDS.findall(line)
+            w = ["<*>" if re.search("[0-9]", x) else x for x in raw]
+            w = w if any(x != "<*>" for x in w) else raw
+            n = len(w)
+            if n:
+                cuts = [n * p // how.parts for p in range(how.parts + 1)]
+                lines[d, i] = [(n, "all", *w)] + [(n, p, w[0], *w[a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))
+                                                  if n >= how.min_tokens]
+                for k in lines[d, i]:
+                    docs_of[k].add(d)
+                    lines_of[k].append((d, i, w))
+    gone = set()
+    for k, held in lines_of.items():
+        least = how.min_docs if k[0] >= how.min_tokens else how.short_docs
+        if len(docs_of[k]) < least:
+            continue
+        if k[1] != "all":
+            top = [max((n, x) for x, n in Counter(w[j] for *_, w in held).items())[1] for j in range(k[0])]
+            held = [x for x in held if sum(a == b for a, b in zip(x[2], top)) >= how.agree * k[0]]
+            if len({x[0] for x in held}) < how.min_docs:
+                continue
+        gone |= {(d, i) for d, i, _ in held}
+    return gone
+
+
+@pytest.mark.parametrize("how", [log_templates.Tree(), log_templates.Tree(min_docs=3, short_docs=4)])
+def test_log_templates_brute_force(spark, docs, texts, how):
+    planted = {10 ** 6 + i: f"{n} text of {i}\nUser {n} logged in from the host {c} without error\nIn the end {n} met {c}\n1 2 3 4 5 6 7"
+               for i, (n, c) in enumerate(zip(NAMES, CITIES))}
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(planted.items()), "doc_id long, text string"))
+    texts = {**texts, **planted}
     gone = brute_templates(texts, how)
     want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in texts.items()}
-    got = {r.doc_id: (r.text, r.n_dropped) for r in log_templates.drop_templates(docs, how).collect()}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in log_templates.drop_templates(df, how).collect()}
     assert {d: x[0] for d, x in got.items()} == want
     assert sum(x[1] for x in got.values()) == len(gone) > 0
+    assert all("logged in" not in got[d][0] for d in planted)
+
+
+NAMES = "Ann Bob Cid Dora Eve Finn Gus Hal Ida Jon Kim Lea".split()
+CITIES = "Oslo Rome Bern Riga Cork Lima Kiev Nice Bonn Graz Pisa York".split()
+
+
+def test_log_templates_token_by_token(spark):
+    """Fields without digits in two places are one template; sentences that share two thirds of six words are none."""
+    figures = [" ".join(str((i * 37 + j * 101) % 997) for j in range(8)) for i in range(12)]
+    rows = [(i, f"User {n} logged in from the host {c} without error\nIn the end {n} met {c}\n{figures[i]}")
+            for i, (n, c) in enumerate(zip(NAMES, CITIES))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in log_templates.drop_templates(df).collect()}
+    assert got == {i: (f"In the end {n} met {c}\n{figures[i]}", 1) for i, (n, c) in enumerate(zip(NAMES, CITIES))}
+    found = {(r.template, r.n_docs) for r in log_templates.templates(df).collect()}
+    assert found == {("User <*> logged in from the host <*> without error", 12)}
 
 
 def test_log_templates_fields(spark, odd, empty):
