@@ -52,10 +52,10 @@ SHORT, WHOLE = -2, -1  # key of a short line, and of all tokens of a longer one;
 
 
 def tokens_of(line: Column) -> Column:
-    """The line's tokens, variable fields masked."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)(?=\S*[0-9])\S+", FIELD)).otherwise(line)
-    words = lambda c: F.array_remove(F.split(c, WHITE), "")
-    return F.when(F.size(F.array_remove(words(masked), FIELD)) > 0, words(masked)).otherwise(words(line))
+    """The line's tokens, variable fields masked unless every token is one."""
+    some = line.rlike("[0-9]") & line.rlike(r"(?<!\S)[^\s0-9]+(?!\S)")
+    masked = F.when(some, F.regexp_replace(line, r"(?<!\S)(?=\S*[0-9])\S+", FIELD)).otherwise(line)
+    return F.array_remove(F.split(masked, WHITE), "")
 
 
 def keys_of(tokens: str, how: Tree) -> Column:
@@ -115,7 +115,8 @@ def verified(docs: DataFrame, marked: DataFrame, how: Tree, id_col: str, text_co
 def templates(docs: DataFrame, how: Tree = Tree(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(template, n_docs): the text of each recurring template, fields that differ shown as ``<*>``; several groups
     may show one template, each with its own count of documents."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), tokens_of(F.explode(F.split(F.col(text_col), "\n"))).alias("tokens"))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(F.col(text_col), "\n")).alias("line"))
+    lines = lines.select("doc_id", tokens_of(F.col("line")).alias("tokens"))
     exact = lines.select("doc_id", "tokens", F.get(keys_of("tokens", how), F.lit(0)).alias("k")).filter("k.key is not null")
     exact = exact.groupBy("k.key", "k.part").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("tokens").alias("tokens"))
     exact = exact.filter(F.col("n_docs") >= F.when(F.col("part") == SHORT, how.short_docs).otherwise(how.min_docs))

@@ -142,7 +142,7 @@ def brute_templates(texts, how):
         for i, line in enumerate((t or "").split("\n")):
             raw = WORDS.findall(line)
             w = ["<*>" if re.search("[0-9]", x) else x for x in raw]
-            w = w if any(x != "<*>" for x in w) else raw
+            w = w if any(not re.search("[0-9]", x) for x in raw) else raw
             n = len(w)
             if n:
                 cuts = [n * p // how.parts for p in range(how.parts + 1)]
