@@ -46,7 +46,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Odd multipliers of the two polynomials; their powers have inverses modulo 2 ** 64.
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 SPACE = np.array([chr(c).isspace() for c in range(0x3002)])  # every Unicode white space lies below
-KNOWN = 1 << 20  # words whose hashes a task remembers
+KNOWN = 1 << 18  # words whose hashes a task remembers
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class Units:
     min_words: int = 8
     sentences: bool = True
     span: int = 11
-    batch_chars: int = 2_000_000
+    batch_chars: int = 1_000_000
 
 
 class Words(dict):
