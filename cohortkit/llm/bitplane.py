@@ -10,7 +10,7 @@ and skips planes that are empty.
 File: magic, planes one after another, then the index, its length, magic.  The
 index (zstandard) has, as little-endian 64-bit numbers: the block size, the plane
 width in bits, the number of planes, ids and documents; the end of each plane; each
-document's id and number of ids.
+document's id and number of ids (the number's complement if the id is null).
 
 Files are written in ascending document order (a range shuffle), one or more a
 task, each under a name of its own; only names in the manifest, which Spark
@@ -23,7 +23,7 @@ each distinct piece of a batch is encoded once by the tokenizers library.  A tex
 that holds a special token's string is encoded whole.
 
 Defined results: a null or empty text has no ids of its own, only the end id; a
-null document id is stored as -1, before all others; rows
+null document id stays null, before all others; rows
 with the same id keep an order by text; an empty table has no files.
 """
 
@@ -84,8 +84,8 @@ class Writer:
         self.ends, self.docs, self.wait, self.waiting, self.ids = [], [], [], 0, 0
         self.at = out.write(MAGIC)
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.docs.append((0, ~len(ids)) if doc_id is None else (doc_id, len(ids)))
         self.wait.append(ids)
         self.waiting += len(ids)
         self.ids += len(ids)
@@ -126,7 +126,9 @@ class Reader:
         self.block, width, planes, self.n_ids, n_docs = (int(v) for v in x[:5])
         self.unit, self.per_block = ("bit", 32) if width == 1 else ("byte", 4)
         self.ends = np.concatenate([[len(MAGIC)], x[5:5 + planes]])
-        self.doc_ids, self.sizes = x[5 + planes:5 + planes + n_docs], x[5 + planes + n_docs:]
+        sizes = x[5 + planes + n_docs:]
+        self.doc_ids = [None if n < 0 else int(d) for d, n in zip(x[5 + planes:5 + planes + n_docs], sizes)]
+        self.sizes = np.where(sizes < 0, ~sizes, sizes)
         self.unzip = zstandard.ZstdDecompressor()
 
     def read_block(self, b: int) -> np.ndarray:
@@ -155,7 +157,7 @@ class Reader:
                 have += len(parts[-1])
                 block += 1
             got = np.concatenate(parts) if len(parts) > 1 else rest
-            yield int(doc_id), got[:n]
+            yield doc_id, got[:n]
             rest = got[n:]
 
 
@@ -294,7 +296,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, how: Planes = Planes()
                         name = f"ids-{part:05d}-{number:05d}-{uuid.uuid4().hex}.bpl"
                         out = store.open_output_stream(f"{root}/{name}")
                         writer = Writer(out, how)
-                    writer.add(-1 if d is None else d, np.append(x, np.uint32(end_id)))
+                    writer.add(d, np.append(x, np.uint32(end_id)))
                     if writer.ids >= how.file_ids:
                         close()
                         number += 1
