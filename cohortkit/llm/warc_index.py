@@ -11,7 +11,7 @@ capture history.
 Scale.  Payloads are shuffled once, by digest, with nothing collected; a payload
 that a third of all records share meets its response in a join that adaptive
 execution splits (both sides are stored tables).  Files close after
-``file_bytes``, so a run fits a task.  Ranges are cut on (URL key, time, id), so
+``file_bytes`` or ``file_records``, so a run fits a task.  Ranges are cut on (URL key, time, id), so
 captures of one URL spread over many.  Files have names of their own and count
 only if the manifest that Spark commits names them: a task that runs twice
 leaves no record twice.
@@ -51,6 +51,7 @@ KEY = ["urlkey", "captured", "page_id", "file", "offset"]
 class Warc:
     min_payload: int = 0
     file_bytes: int = 256 << 20
+    file_records: int = 200_000
     level: int = 6
     range_rows: int = 200_000
 
@@ -195,7 +196,7 @@ def write_archives(pages: DataFrame, path: str, how: Warc = Warc(), **cols) -> D
                 raw = gzip.compress(record(page, url, html[i].as_py(), sha, ref), how.level, mtime=0)
                 out.write(raw)
                 n, size = n + 1, size + len(raw)
-                if size >= how.file_bytes:
+                if size >= how.file_bytes or n >= how.file_records:
                     out.close()
                     done.append((name, n))
                     out = None
