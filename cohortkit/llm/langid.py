@@ -5,14 +5,15 @@ A document's words are drawn from a mixture of languages; EM estimates the
 proportions.  The set of languages is chosen by penalised likelihood: languages
 are added in order of their proportion while the log likelihood gains more than
 ``penalty`` x log(words) each.  The document's language is the largest of the
-chosen set; its score is its proportion.
+chosen set; its score is its proportion.  The whole set and its proportions are
+returned as well, largest first.
 
 Training counts n-grams per language on a bounded sample of the labelled rows,
 about ``train_rows`` in all (documented bound, picked by a hash of the id); the
 model has ``2 ** table_bits`` entries a language.  Prediction reads every whole
 text once, with no shuffle; words repeated in a batch are scored once.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; ties
+Defined results: a null text or one without a letter is ``und`` with score 0 and no mixture; ties
 go to the language first in the alphabet; with no labelled row every text is
 ``und``; repeated rows are each predicted.
 """
@@ -46,8 +47,8 @@ class LangId:
 
 def words_of(texts: list, bound: int):
     """(unique words as bytes, word number of each token, number of tokens of each text)."""
-    # one blank between words of a text; lower case before splitting
-    arr = pa.array([t.lower() if t else "" for t in texts], pa.large_string())
+    # lower case before splitting; white space at either end would split off an empty word
+    arr = pa.array([(t.lower().strip(" \t\n\r\x0b\x0c") or None) if t else None for t in texts], pa.large_string())
     split = pc.ascii_split_whitespace(arr)
     flat = split.flatten()
     counts = np.diff(split.offsets.to_numpy())
@@ -101,11 +102,12 @@ class Model:
             out[a:a + len(part)] /= len(self.how.orders)
         return out
 
-    def predict(self, texts: list) -> tuple[list, list]:
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list) -> tuple[list, list, list]:
+        """(language, score, mixture) lists; a mixture is (language, proportion) pairs, largest first."""
+        langs, scores, mixtures = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
         if not rows or not self.langs:
-            return langs, scores
+            return langs, scores, mixtures
         words, token, counts = words_of([texts[i] for i in rows], 0)
         score = self.word_scores(words)
         score -= score.max(axis=1, keepdims=True)
@@ -144,7 +146,9 @@ class Model:
         top = best.argmax(axis=1)
         for n, i in enumerate(rows):
             langs[i], scores[i] = self.langs[top[n]], float(min(1.0, best[n, top[n]]))
-        return langs, scores
+            share = best[n].tolist()
+            mixtures[i] = [(self.langs[j], min(1.0, share[j])) for j in sorted(range(k), key=lambda j: -share[j]) if share[j] > 0]
+        return langs, scores, mixtures
 
 
 def train(docs: DataFrame, how: LangId = LangId(), id_col: str = "doc_id", text_col: str = "text",
@@ -187,18 +191,23 @@ def train(docs: DataFrame, how: LangId = LangId(), id_col: str = "doc_id", text_
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row, from the text alone."""
+    """(doc_id, lang_pred, score, langs, shares) of every row, from the text alone."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            langs, scores = [], []
+            langs, scores, mixtures = [], [], []
             for a, b in pieces(texts, model.how.piece_chars):
-                x, y = model.predict(texts[a:b])
+                x, y, z = model.predict(texts[a:b])
                 langs += x
                 scores += y
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             ["doc_id", "lang_pred", "score"])
-
-    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, lang_pred string, score double")
+                mixtures += z
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                 pa.array([[x for x, _ in m] for m in mixtures], pa.list_(pa.string())),
+                 pa.array([[p for _, p in m] for m in mixtures], pa.list_(pa.float64()))],
+                ["doc_id", "lang_pred", "score", "langs", "shares"])
+
+    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, lang_pred string, score double, "
+                               "langs array<string>, shares array<double>")

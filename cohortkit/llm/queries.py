@@ -58,7 +58,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(~held_out()))
-    return langid.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "langs", "shares")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
