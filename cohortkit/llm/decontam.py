@@ -16,9 +16,10 @@ Every pattern has T >= 1 (``min_item`` sees to it; a short item has no edits and
 q-grams of its own length at most), so the filter loses no match.
 
 Scale.  The documents are scanned where they lie, no shuffle: per batch the
-q-gram hashes of whole texts are looked up in the patterns' table.  The patterns
-travel with the tasks in blocks of about ``block_chars`` characters of windows; a larger
-benchmark takes more passes over the documents, not more memory.
+q-gram hashes of whole texts are looked up in the patterns' table.  The benchmark is
+stored in blocks of about ``block_chars`` characters of windows; tasks read a block from
+the shared folder and a worker holds the tables of one.  The driver holds the blocks'
+numbers alone; a larger benchmark takes more passes over the documents, not more memory.
 
 Defined results: null or empty texts and documents shorter than any pattern
 match nothing; items that are null or empty are passed over; repeated
@@ -28,14 +29,15 @@ items are all reported; repeated documents are reported each.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, spare, stage
+from .common import open_store, pieces, spare, stage, stage_path
 
 SEAM = 0x110000  # no character: parts texts that are scanned together
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -162,8 +164,7 @@ class Patterns:
         diag = np.repeat(pos, times) - self.at[hit]
         half = self.k[owner] + 1
         band = diag // half + 1  # may start one half band before the text
-        both = np.concatenate([owner * (1 << 40) + band, owner * (1 << 40) + band - 1 + (1 << 20)])
-        both[len(owner):] -= 1 << 20
+        both = np.concatenate([owner * (1 << 40) + band, owner * (1 << 40) + band - 1])
         return np.unique(both, return_counts=True)
 
     def scan(self, c: np.ndarray, table: np.ndarray):
@@ -228,34 +229,58 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, how: Decontam = Decontam()
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).dropna()
     types, kinds = dict(src.dtypes), dict(items.dtypes)
     schema = f"doc_id {types['doc_id']}, item_id {kinds['item_id']}, window_start int, edits int, end long"
-    block: list = []
-    size = 0
-    found = []
-    for row in items.orderBy("item_id", "text").toLocalIterator():  # a block at a time
-        chars = sum(b - a for a, b in windows(len(row.text), how.window, how.stride))
-        if block and size + chars > how.block_chars:
-            found.append(_scan(src, by_gram(block, how), schema))
-            block, size = [], 0
-        block.append((row.item_id, row.text))
-        size += chars
-    found.append(_scan(src, by_gram(block, how), schema))
-    return reduce(DataFrame.unionByName, found)
-
-
-def _scan(src: DataFrame, patterns: list[Patterns], schema: str) -> DataFrame:
+    blocks = store_blocks(items, how)
+    if not blocks:
+        return src.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [_scan(src, uri, how, schema) for uri in blocks])
+
+
+def store_blocks(items: DataFrame, how: Decontam) -> list[str]:
+    """The items (item_id, text) stored in blocks, one folder each: the folders.
+
+    Equal rows are stored once with their number, so a row that is most of the
+    benchmark does not swell its block.
+    """
+    spark = items.sparkSession
+    stored = stage(items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times")), "benchmark")
+    n = F.length("text")
+    chars = F.when(n <= how.window, n).otherwise((F.ceil((n - how.window) / how.stride) + 1) * how.window)
+    total = stored.agg(F.sum(chars)).first()[0]
+    if not total:
+        return []
+    blocks = -(-total // how.block_chars)
+    path = stage_path(spark, "benchmark-blocks")
+    (stored.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).repartition(blocks, "block")
+     .write.partitionBy("block").parquet(path))
+    held = spark.read.parquet(path).select("block").distinct().collect()  # a row a block
+    return [f"{path}/block={r.block}" for r in sorted(held)]
+
+
+@lru_cache(maxsize=1)
+def read_block(uri: str, how: Decontam) -> tuple[list, list, list]:
+    """(item ids, times, (patterns, table) pairs) of a stored block; a worker keeps the last one over its tasks."""
+    store, root = open_store(uri)
+    rows = pq.read_table(root, filesystem=store, partitioning=None, columns=["item_id", "text", "times"])
+    patterns = by_gram(list(enumerate(rows.column("text").to_pylist())), how)
+    return rows.column("item_id").to_pylist(), rows.column("times").to_pylist(), [(p, p.table()) for p in patterns]
+
+
+def _scan(src: DataFrame, uri: str, how: Decontam, schema: str) -> DataFrame:
     fields = src.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, tables = to_arrow_schema(fields), [(p, p.table()) for p in patterns]
+        arrow = to_arrow_schema(fields)
+        items, times, tables = read_block(uri, how)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = batch.column(0)
             rows: list = []
             for a, b in pieces(texts, 1_000_000):
                 for p, table in tables:
-                    rows += leaks(p, table, texts[a:b], a)
+                    for doc, item, *rest in leaks(p, table, texts[a:b], a):
+                        rows += [(doc, items[item], *rest)] * times[item]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[r[0]].as_py() for r in rows], arrow.field(0).type),
                  *[pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(1, 5)]], schema=arrow)

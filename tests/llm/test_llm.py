@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import os
 import random
 import re
@@ -133,6 +134,19 @@ def test_warc_round_trip(spark):
     assert warc_index.capture_index(pages.limit(0)).count() == 0
 
 
+def test_warc_files_close_after_so_many_records(spark):
+    pages = common.table(spark, SF, "pages").select("page_id", "url", "html")
+    how = warc_index.Warc(file_records=7)
+    path = common.stage_path(spark, "warc-test")
+    files = warc_index.write_archives(pages, path, how)
+    assert {r.records for r in files.collect()} >= {7} and files.agg(F.max("records")).first()[0] == 7
+    runs = warc_index.read_runs(spark, path, files)
+    assert runs.groupBy("file").count().agg(F.max("count")).first()[0] == 7
+    order = [r.page_id for r in warc_index.merge_index(runs, how).orderBy("range_no", "place").collect()]
+    whole = [r.page_id for r in warc_index.capture_index(pages).orderBy("range_no", "place").collect()]
+    assert order == whole and len(whole) == pages.count()
+
+
 # -- 3 ------------------------------------------------------------------------
 
 def brute_templates(texts, how):
@@ -256,6 +270,15 @@ def test_bitplane_query(spark, docs, texts, odd, empty):
     assert bitplane.encode_documents(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_bitplane_null_ids_stay_null(spark):
+    rows = [(-1, "b"), (None, "a long one"), (-5, "c"), (None, None), (0, "d"), (2 ** 63 - 1, "e"), (-2 ** 63, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bitplane.encode_documents(docs, queries.tokenizer_path()).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -2 ** 63, -5, -1, 0, 2 ** 63 - 1]
+    assert got[0].n_tokens == 1 and got[1].n_tokens > 1  # rows of one id go by text, nulls first
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
 # -- 5 ------------------------------------------------------------------------
 
 def test_hilbert_curve_steps_to_neighbours():
@@ -327,6 +350,24 @@ def test_decontamination_edits_and_cases(spark, odd, empty):
     assert decontam.drop_leaks(odd, bench.limit(0)).columns == odd.columns
 
 
+def test_decontamination_blocks_are_read_by_tasks(spark):
+    rnd = random.Random(23)
+    item = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(150))
+    texts = [item() for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[1])] + [(3, texts[3])] * 4
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(i, "lead " * 9 + t + " tail" * 9) for i, t in enumerate(texts)], "doc_id long, text string")
+    small = decontam.Decontam(block_chars=1_500)
+    folders = decontam.store_blocks(bench, small)
+    held = [decontam.read_block.__wrapped__(f, small) for f in folders]
+    assert len(folders) >= 10 and sum(sum(times) for _, times, _ in held) == len(rows)
+    assert sorted(i for ids, _, _ in held for i in ids) == sorted(i for i, _ in set(rows))
+    key = lambda how: sorted(map(tuple, decontam.find_leaks(docs, bench, how).collect()))
+    whole = key(decontam.Decontam())
+    assert key(small) == whole and {r[0] for r in whole} == set(range(40))
+    assert Counter(r[:2] for r in whole)[3, 3] == 5 * Counter(r[:2] for r in whole)[2, 2]  # repeated items are all reported
+
+
 def test_decontamination_counts_in_parts(monkeypatch):
     rnd = random.Random(11)
     item = "".join(rnd.choice("abcdefgh ") for _ in range(260))
@@ -385,13 +426,76 @@ def test_language_accuracy(spark, docs):
     assert (held.lang == held.lang_pred).mean() >= 0.95 and got.score.between(0, 1).all()
 
 
+def plain_mixture(model, text):
+    """The mixture of one text by plain loops: a word's grams, EM over its words, languages added while they pay."""
+    how, k, wrap = model.how, len(model.langs), (1 << 64) - 1
+
+    def score(word):
+        raw, out = b" " + word + b" ", [0.0] * k
+        for n in how.orders:
+            for a in range(len(raw) - n + 1):
+                if n == 1 and raw[a] == 32:
+                    continue
+                h = 0
+                for byte in raw[a:a + n]:
+                    h = (h * 257 + byte + 1) & wrap
+                slot = ((h * 0x9E3779B97F4A7C15 + n) * 0xBF58476D1CE4E5B9 & wrap) >> (64 - how.table_bits)
+                out = [x + float(model.table[slot, j]) for j, x in enumerate(out)]
+        out = [x / len(how.orders) for x in out]
+        return [math.exp(x - max(out)) for x in out]
+
+    known, like = {}, []
+    for w in text.lower().encode().split():
+        like.append(known.setdefault(w, None) or known.__setitem__(w, score(w)) or known[w])
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            total = [0.0] * k
+            for row in like:
+                part = [x * s for x, s in zip(row, share)]
+                whole = max(sum(part), 1e-300)
+                total = [t + p / whole for t, p in zip(total, part)]
+            share = [t / len(like) for t in total]
+        return share, fit(share)
+
+    def fit(share):
+        return sum(math.log(max(sum(x * s for x, s in zip(row, share)), 1e-300)) for row in like)
+
+    full, _ = em([1 / k] * k, how.rounds)
+    order = sorted(range(k), key=lambda j: -full[j])
+    best = [float(j == order[0]) for j in range(k)]
+    best_fit = fit(best)
+    for size in range(2, k + 1):
+        share = [max(full[j], 1e-6) if j in order[:size] else 0.0 for j in range(k)]
+        share, now = em([x / sum(share) for x in share], 3)
+        if now - best_fit <= how.penalty * math.log(max(len(like), 2)):
+            break
+        best, best_fit = share, now
+    return {model.langs[j]: best[j] for j in range(k) if best[j] > 0}
+
+
+def test_language_mixture_brute_force(spark, docs):
+    model = langid.train(docs.filter(~queries.held_out()))
+    rows = [r.text for r in docs.orderBy("doc_id").collect() if r.text and len(r.text) < 4000]
+    rows += [a[:600] + " " + b[:900] for a, b in zip(rows, rows[7:40])]
+    langs, scores, mixtures = model.predict(rows)
+    for text, lang, score, mixture in zip(rows, langs, scores, mixtures):
+        if langid.LETTER.search(text):
+            want = plain_mixture(model, text)
+            assert dict(mixture) == pytest.approx(want, abs=1e-6)
+            assert score == pytest.approx(max(want.values()), abs=1e-6) and (lang, score) == mixture[0]
+    assert any(len(m) > 1 for m in mixtures) and any(len(m) == 1 for m in mixtures)
+
+
 def test_language_cases(spark, docs, odd, empty):
     model = langid.train(docs)
     got = [(r.doc_id, r.lang_pred, r.score) for r in langid.predict(odd, model).collect()]
     assert all(lang == "und" and score == 0 for d, lang, score in got if d in (1, 2, 6)) and len(got) == odd.count()
     mixed = [r.text for r in docs.filter("lang = 'en'").limit(3).collect() + docs.filter("lang = 'fr'").limit(3).collect()]
-    _, score = model.predict([mixed[0], mixed[0] + " " + mixed[3]])
-    assert score[1] < score[0]
+    _, score, mixture = model.predict([mixed[0], mixed[0] + " " + mixed[3]])
+    assert score[1] < score[0] and {x for x, _ in mixture[1]} >= {"en", "fr"}
+    assert all(langs == [] == shares for d, langs, shares in
+               langid.predict(odd, model).select("doc_id", "langs", "shares").collect() if d in (1, 2, 6))
     assert langid.predict(empty, langid.train(empty)).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, langid.train(empty)).collect()} == {"und"}
 
