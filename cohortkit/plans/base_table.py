@@ -30,6 +30,7 @@ from ..config import (CANCEL_EVENT_TYPES, LIVE_FEEDBACK_TAG, RATING_SCREEN_TAG,
 from ..functions import first_match, isin_ci
 from ..operators import keep, latest_per_key, latest_per_key_by_case
 from ..session import materialize
+from .bloom import Bloom, reduced, stored_ids
 from .latest_state import SERVICE, SNAPSHOT, rows_of
 
 Sources = Mapping[str, DataFrame]
@@ -120,12 +121,16 @@ def mode_captains(src: Sources, base: DataFrame, cfg: RunConfig) -> DataFrame:
     return keep(t4, base, "captain_id").distinct()
 
 
-def captain_mapping(src: Sources, olf: DataFrame, cfg: RunConfig, states: Sources | None = None) -> DataFrame:
+def captain_mapping(src: Sources, olf: DataFrame, cfg: RunConfig, states: Sources | None = None,
+                    bloom: Bloom | None = None) -> DataFrame:
     """Captains whose latest class is not 'others', with an in-scope active snapshot and the mode.
 
     ``states``: stored latest rows for t2 and t3, by those names, read in place of the histories.
+    ``bloom``: the captains are stored first, so that ``reduced`` plans can filter t2, t3 and t4 by them.
     """
     base, states = captain_base(olf), states or {}
+    if bloom:
+        base = stored_ids(base, "captain-ids")
     csi = latest_service(src, base, states.get("t2")).where(F.col("service_type") != SERVICE_CLASS_DEFAULT)
     rs = rider_snapshot(src, base, cfg, states.get("t3"))
     csj = mode_captains(src, base, cfg)
@@ -209,10 +214,11 @@ def feedback_merge(src: Sources, cfg: RunConfig) -> DataFrame:
     )
 
 
-def captain_day_facts(src: Sources, olf: DataFrame, cfg: RunConfig, states: Sources | None = None) -> DataFrame:
+def captain_day_facts(src: Sources, olf: DataFrame, cfg: RunConfig, states: Sources | None = None,
+                      bloom: Bloom | None = None) -> DataFrame:
     """Mapping and cancel counts of every (captain, day) of the order log whose captain is mapped."""
     days = materialize(captain_days(olf), "captain-days")
-    cm = captain_mapping(src, days, cfg, states)
+    cm = captain_mapping(src, days, cfg, states, bloom)
     oc = cancel_counts(src, cfg)
     d = days.join(cm, days.captain_id == cm.cm_captain_id, "inner").drop("cm_captain_id")
     d = d.join(oc, (d.captain_id == oc.ocara_captain_id) & (d.yyyymmdd == oc.ocara_yyyymmdd), "left")
@@ -221,7 +227,7 @@ def captain_day_facts(src: Sources, olf: DataFrame, cfg: RunConfig, states: Sour
 
 
 def build_base_table(src: Sources, cfg: RunConfig, days: tuple[str, str] | None = None, by_order: bool = False,
-                     states: Sources | None = None) -> DataFrame:
+                     states: Sources | None = None, bloom: Bloom | None = None) -> DataFrame:
     """The 33-column order-grain table (+ ``mobile``), of all days or of the order days ``days`` (first, last).
 
     The side tables are always read over the whole range: an order's labels, calls
@@ -240,12 +246,20 @@ def build_base_table(src: Sources, cfg: RunConfig, days: tuple[str, str] | None
     it drops the rows of unmapped captains before the other shuffles.
 
     ``states``: see ``captain_mapping``.
+
+    ``bloom``: histories and answers pass a Bloom filter of the ids they are joined with
+    before they are shuffled (t2 and t3 by captain, t11 by service detail).  The answers
+    are then stored, as the filter is made only in plans that run in here.
     """
     olf = order_scope(src, cfg, days)
-    cf = materialize(captain_day_facts(src, olf, cfg, states), "captain-day-facts")
+    with reduced(olf.sparkSession, bloom):
+        cf = materialize(captain_day_facts(src, olf, cfg, states, bloom), "captain-day-facts")
     cd = calls_per_order(src, cfg)
     tl = text_labels(src, cfg).withColumnsRenamed({"order_id": "tl_order_id", "captain_id": "tl_captain_id"})
     nf = feedback_merge(src, cfg)
+    if bloom:
+        with reduced(olf.sparkSession, bloom):
+            nf = materialize(nf, "feedback")
 
     def with_captain_day(w: DataFrame) -> DataFrame:
         return w.join(cf, (w.captain_id == cf.cf_captain_id) & (w.yyyymmdd == cf.cf_yyyymmdd), "inner")

@@ -19,6 +19,7 @@ from .config import RunConfig, fixture_config
 from .oracle.pipeline_sql import r6, service_case, sql
 from .plans import base_table as bt
 from .plans import latest_state as ls
+from .plans.bloom import Bloom
 from .plans.seeding import audit_top, run_seeding
 from .session import checkpoint_dir, materialize, use_scratch_checkpoint_dir
 from .sources.bucketed import bucket_by_order
@@ -112,6 +113,15 @@ def _bucketed(spark: SparkSession, sf: str) -> DataFrame:
     return bt.build_base_table(src, CFG, by_order=True, states=states)
 
 
+def _stored_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {name: materialize(df, f"source-{name}") for name, df in source_views(spark, sf).items()}
+
+
+def _bloomed(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide table with Bloom reductions at any size and no broadcast."""
+    return bt.build_base_table(_stored_sources(spark, sf), CFG, bloom=Bloom(min_scan="0", broadcast="-1"))
+
+
 def _table_name(label: str) -> str:
     return f"cohortkit_{label}_{uuid.uuid4().hex}"
 
@@ -188,6 +198,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "base_table_by_day": _by_day,
         # from bucketed sources and folded states
         "base_table_bucketed": _bucketed,
+        "base_table_bloom": _bloomed,
         "latest_service_daily": _latest_service_daily,
         # sorted distinct signals of the audit log
         "audit_signals": lambda s, d: _run(s, d).audit.select("signal").distinct().select(
@@ -321,6 +332,7 @@ def oracle_queries(cfg: RunConfig = CFG) -> dict[str, str]:
         "base_table_refreshed": S(["base_table"], "SELECT * FROM base_table"),
         "base_table_by_day": S(["base_table"], "SELECT * FROM base_table"),
         "base_table_bucketed": S(["base_table"], "SELECT * FROM base_table"),
+        "base_table_bloom": S(["base_table"], "SELECT * FROM base_table"),
         "latest_service_daily": S(["latest_service"], "SELECT * FROM latest_service"),
         "audit_signals": S(["audit"], "SELECT signal, CAST(row_number() OVER (ORDER BY signal) AS INTEGER) AS place "
                                       "FROM (SELECT DISTINCT signal FROM audit)"),
