@@ -21,8 +21,8 @@ from .plans import base_table as bt
 from .plans import latest_state as ls
 from .plans.bloom import Bloom
 from .plans.seeding import audit_top, run_seeding
-from .session import checkpoint_dir, materialize, use_scratch_checkpoint_dir
-from .sources.bucketed import bucket_by_order
+from .session import at_once, checkpoint_dir, materialize, use_scratch_checkpoint_dir
+from .sources.bucketed import bucket_by_order, bucket_count
 from .sources.fixtures import source_views, wide_view
 from .sources.catalog import read_parquet, read_sources
 from .sources.sinks import read_manifest, read_output, write_outputs
@@ -108,9 +108,11 @@ def _by_day(spark: SparkSession, sf: str) -> DataFrame:
 def _bucketed(spark: SparkSession, sf: str) -> DataFrame:
     """The wide table from an order log and calls bucketed by order id, and from folded states of the captains' rows."""
     src = source_views(spark, sf)
-    src = bucket_by_order(src, _table_name("orders"), _fresh(spark, "bucketed"), 16)
-    states = {"t2": _folded(spark, bt.service_history(src), ls.SERVICE), "t3": _folded(spark, bt.active_snapshots(src), ls.SNAPSHOT)}
-    return bt.build_base_table(src, CFG, by_order=True, states=states)
+    done = at_once({
+        "orders": lambda: bucket_by_order(src, _table_name("orders"), _fresh(spark, "bucketed"), bucket_count(src["t1"])),
+        "t2": lambda: _folded(spark, bt.service_history(src), ls.SERVICE),
+        "t3": lambda: _folded(spark, bt.active_snapshots(src), ls.SNAPSHOT)})
+    return bt.build_base_table(done["orders"], CFG, by_order=True, states={n: done[n] for n in ("t2", "t3")})
 
 
 def _stored_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

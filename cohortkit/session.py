@@ -9,9 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import Observation, SparkSession
 
+T = TypeVar("T")
+
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -65,6 +70,18 @@ def use_scratch_checkpoint_dir(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def at_once(jobs: Mapping[str, Callable[[], T]], most: int = 4) -> dict[str, T]:
+    """The results of ``jobs`` that do not depend on each other, up to ``most`` of them running at a time.
+
+    Spark's first-in-first-out order gives the free cores to the earliest job, so the
+    next ones use what its last tasks and its commit leave idle; name the longest first.
+    The jobs must not change the session's settings.
+    """
+    with ThreadPoolExecutor(most) as pool:
+        running = {name: pool.submit(job) for name, job in jobs.items()}
+        return {name: job.result() for name, job in running.items()}
+
+
 def materialize_counted(df, label: str, counts: dict) -> tuple:
     """``materialize`` with aggregates taken on the way: (stored frame, {name: value}).
 

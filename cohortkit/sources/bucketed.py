@@ -11,9 +11,12 @@ choose to shuffle both sides of a join.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 
+from ..session import at_once
+
 #: The order id's column in the sources that are joined or grouped by it.
 ORDER_KEYS = {"t1": "order_id", "t6": "eventprops__orderid"}
 
@@ -31,8 +34,14 @@ def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], bu
     return df.sparkSession.table(table)
 
 
+def bucket_count(df: DataFrame, rows: int = 2_000_000, least: int = 16) -> int:
+    """Buckets of about ``rows`` rows of ``df``, ``least`` at least: with a fixed number each bucket, which one task
+    sorts and writes, grows with the table."""
+    return max(least, -(-df.count() // rows))
+
+
 def bucket_by_order(src: Mapping[str, DataFrame], prefix: str, root: str, buckets: int) -> dict[str, DataFrame]:
     """The sources with the order log and the calls bucketed by order id (tables ``<prefix>_t1``, ``<prefix>_t6``)."""
-    stored = {n: write_bucketed(src[n], f"{prefix}_{n}", f"{root.rstrip('/')}/{n}", [key], buckets)
-              for n, key in ORDER_KEYS.items()}
+    stored = at_once({n: partial(write_bucketed, src[n], f"{prefix}_{n}", f"{root.rstrip('/')}/{n}", [key], buckets)
+                      for n, key in ORDER_KEYS.items()})
     return {**src, **stored}
