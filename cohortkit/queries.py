@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,13 +96,15 @@ def _refreshed(spark: SparkSession, sf: str) -> DataFrame:
 
 def _by_day(spark: SparkSession, sf: str) -> DataFrame:
     """The wide table from sources read by path, the order log stored partitioned by day."""
-    paths = {}
-    for name, df in source_views(spark, sf).items():
-        paths[name] = _fresh(spark, f"source-{name}")
+    def store(name: str, df: DataFrame) -> str:
+        path = _fresh(spark, f"source-{name}")
         if name == "t1":
-            df.repartition("yyyymmdd").write.partitionBy("yyyymmdd").parquet(paths[name])
+            df.repartition("yyyymmdd").write.partitionBy("yyyymmdd").parquet(path)
         else:
-            df.write.parquet(paths[name])
+            df.write.parquet(path)
+        return path
+
+    paths = at_once({name: partial(store, name, df) for name, df in _longest_first(source_views(spark, sf))})
     return bt.build_base_table(read_sources(spark, paths), CFG)
 
 
@@ -115,6 +118,10 @@ def _bucketed(spark: SparkSession, sf: str) -> DataFrame:
     return bt.build_base_table(done["orders"], CFG, by_order=True, states={n: done[n] for n in ("t2", "t3")})
 
 
+def _longest_first(src: dict[str, DataFrame]) -> list[tuple[str, DataFrame]]:
+    return sorted(src.items(), key=lambda s: s[0] not in ("t1", "t7", "t8"))
+
+
 def _stored_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {name: materialize(df, f"source-{name}") for name, df in source_views(spark, sf).items()}
 

@@ -5,6 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from cohortkit import queries
 from cohortkit.session import at_once
 from cohortkit.sources import fixtures
 from cohortkit.sources.bucketed import bucket_count
@@ -24,6 +25,20 @@ def test_buckets_grow_with_the_rows(spark):
     assert bucket_count(spark.range(101), rows=4) == 26
 
 
+def test_every_source_is_stored_at_once(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(jobs):
+        raise Seen(*jobs)
+
+    monkeypatch.setattr(queries, "at_once", seen)
+    for store in (queries._by_day,):
+        with pytest.raises(Seen) as e:
+            store(spark, SF)
+        assert sorted(e.value.args) == sorted(f"t{i}" for i in range(1, 12)) and set(e.value.args[:3]) == {"t1", "t7", "t8"}
+
+
 def test_day_text_is_that_of_date_format(spark):
     days = spark.sql("SELECT make_timestamp(y, m, 1, 23, 59, 59) AS ts FROM VALUES (1, 1), (987, 12), (1995, 2), (9999, 12), (10000, 1), (-3, 5), (null, 1) AS v(y, m)")
     rows = days.select(fixtures._day(F.col("ts")).alias("a"), F.date_format(F.col("ts").cast("date"), "yyyyMMdd").alias("b")).collect()
