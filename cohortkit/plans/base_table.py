@@ -21,6 +21,8 @@ log's grain because every right side is unique on its join key.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from ..config import (CANCEL_EVENT_TYPES, LIVE_FEEDBACK_TAG, RATING_SCREEN_TAG,
                       SERVICE_CLASSES, TEXT_INPUT_TYPES, RunConfig)
 from ..functions import first_match, isin_ci
 from ..operators import keep, latest_per_key, latest_per_key_by_case
-from ..session import materialize
+from ..session import at_once, materialize
 from .bloom import Bloom, reduced, stored_ids
 from .latest_state import SERVICE, SNAPSHOT, rows_of
 
@@ -214,12 +216,31 @@ def feedback_merge(src: Sources, cfg: RunConfig) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Sides:
+    """What a build takes from the sources other than the order log, over the whole range and for any order days."""
+    states: Sources  # latest rows of t2 and t3, see ``captain_mapping``
+    cancels: DataFrame
+    calls: DataFrame
+    labels: DataFrame
+    answers: DataFrame
+
+
+def stored_sides(src: Sources, cfg: RunConfig) -> Sides:
+    """The sides, stored: several builds over the same sources (``refresh_days``) then work them out once."""
+    sides = {"labels": text_labels(src, cfg), "answers": feedback_merge(src, cfg), "calls": calls_per_order(src, cfg),
+             "cancels": cancel_counts(src, cfg), "t2": SERVICE.reduce(service_history(src)),
+             "t3": SNAPSHOT.reduce(active_snapshots(src))}
+    done = at_once({name: partial(materialize, df, f"side-{name}") for name, df in sides.items()})
+    return Sides({n: done.pop(n) for n in ("t2", "t3")}, **done)
+
+
 def captain_day_facts(src: Sources, olf: DataFrame, cfg: RunConfig, states: Sources | None = None,
-                      bloom: Bloom | None = None) -> DataFrame:
-    """Mapping and cancel counts of every (captain, day) of the order log whose captain is mapped."""
+                      bloom: Bloom | None = None, cancels: DataFrame | None = None) -> DataFrame:
+    """Mapping and cancel counts (``cancels`` if given) of every (captain, day) of the order log whose captain is mapped."""
     days = materialize(captain_days(olf), "captain-days")
     cm = captain_mapping(src, days, cfg, states, bloom)
-    oc = cancel_counts(src, cfg)
+    oc = cancel_counts(src, cfg) if cancels is None else cancels
     d = days.join(cm, days.captain_id == cm.cm_captain_id, "inner").drop("cm_captain_id")
     d = d.join(oc, (d.captain_id == oc.ocara_captain_id) & (d.yyyymmdd == oc.ocara_yyyymmdd), "left")
     return (d.drop("ocara_captain_id", "ocara_yyyymmdd")
@@ -227,7 +248,7 @@ def captain_day_facts(src: Sources, olf: DataFrame, cfg: RunConfig, states: Sour
 
 
 def build_base_table(src: Sources, cfg: RunConfig, days: tuple[str, str] | None = None, by_order: bool = False,
-                     states: Sources | None = None, bloom: Bloom | None = None) -> DataFrame:
+                     states: Sources | None = None, bloom: Bloom | None = None, sides: Sides | None = None) -> DataFrame:
     """The 33-column order-grain table (+ ``mobile``), of all days or of the order days ``days`` (first, last).
 
     The side tables are always read over the whole range: an order's labels, calls
@@ -250,14 +271,20 @@ def build_base_table(src: Sources, cfg: RunConfig, days: tuple[str, str] | None
     ``bloom``: histories and answers pass a Bloom filter of the ids they are joined with
     before they are shuffled (t2 and t3 by captain, t11 by service detail).  The answers
     are then stored, as the filter is made only in plans that run in here.
+
+    ``sides``: ``stored_sides`` of the same sources and configuration, read in place of all sources but the
+    order log and t4.
     """
     olf = order_scope(src, cfg, days)
+    if sides and states is None:
+        states = sides.states
     with reduced(olf.sparkSession, bloom):
-        cf = materialize(captain_day_facts(src, olf, cfg, states, bloom), "captain-day-facts")
-    cd = calls_per_order(src, cfg)
-    tl = text_labels(src, cfg).withColumnsRenamed({"order_id": "tl_order_id", "captain_id": "tl_captain_id"})
-    nf = feedback_merge(src, cfg)
-    if bloom:
+        cf = materialize(captain_day_facts(src, olf, cfg, states, bloom, sides and sides.cancels), "captain-day-facts")
+    cd = sides.calls if sides else calls_per_order(src, cfg)
+    tl = sides.labels if sides else text_labels(src, cfg)
+    tl = tl.withColumnsRenamed({"order_id": "tl_order_id", "captain_id": "tl_captain_id"})
+    nf = sides.answers if sides else feedback_merge(src, cfg)
+    if bloom and not sides:
         with reduced(olf.sparkSession, bloom):
             nf = materialize(nf, "feedback")
 
@@ -271,12 +298,13 @@ def build_base_table(src: Sources, cfg: RunConfig, days: tuple[str, str] | None
     return (with_captain_day(w) if by_order else w).select(*WIDE_COLUMNS)
 
 
-def refresh_days(src: Sources, cfg: RunConfig, path: str, first: str, last: str) -> None:
+def refresh_days(src: Sources, cfg: RunConfig, path: str, first: str, last: str, sides: Sides | None = None) -> None:
     """Build the order days ``first`` .. ``last`` of the wide table at ``path`` anew; other days stay as they are.
+    ``sides``: see ``build_base_table``.
 
     The table is partitioned by day, and only the partitions written are replaced, so
     a rerun gives the same table.  A day whose orders have all gone from the sources
     writes nothing and keeps its old partition.
     """
-    (build_base_table(src, cfg, (first, last)).repartition("yyyymmdd", F.pmod(F.xxhash64("order_id"), F.lit(8)))
+    (build_base_table(src, cfg, (first, last), sides=sides).repartition("yyyymmdd", F.pmod(F.xxhash64("order_id"), F.lit(8)))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("yyyymmdd").parquet(path))

@@ -89,8 +89,9 @@ def _refreshed(spark: SparkSession, sf: str) -> DataFrame:
     """The wide table built day range by day range, the first one twice."""
     src, path = source_views(spark, sf), _fresh(spark, "wide-by-day")
     half = (CFG.day_from, "19991001"), ("19991002", CFG.day_to)
+    sides = bt.stored_sides(src, CFG)
     for first, last in (*half, half[0]):
-        bt.refresh_days(src, CFG, path, first, last)
+        bt.refresh_days(src, CFG, path, first, last, sides)
     return read_parquet(spark, path).select(*bt.WIDE_COLUMNS)
 
 

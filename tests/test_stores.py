@@ -6,11 +6,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortkit import queries
+from cohortkit.config import fixture_config
+from cohortkit.plans import base_table as bt
 from cohortkit.session import at_once
 from cohortkit.sources import fixtures
 from cohortkit.sources.bucketed import bucket_count
 
 SF = "/root/testdata/sf0.001"
+CFG = fixture_config(start_day="19991101")
+
+
+def key(df):
+    return sorted(str(sorted(r.asDict().items())) for r in df.collect())
 
 
 def test_jobs_run_at_once():
@@ -39,6 +46,15 @@ def test_every_source_is_stored_at_once(spark, monkeypatch):
         assert sorted(e.value.args) == sorted(f"t{i}" for i in range(1, 12)) and set(e.value.args[:3]) == {"t1", "t7", "t8"}
 
 
+def test_builds_from_stored_sides_read_no_side_source(spark):
+    src = fixtures.source_views(spark, SF)
+    sides = bt.stored_sides(src, CFG)
+    bare = {"t1": src["t1"], "t4": src["t4"]}
+    for days in (None, ("19991101", "19991130")):
+        want = key(bt.build_base_table(src, CFG, days))
+        assert want and key(bt.build_base_table(bare, CFG, days, sides=sides)) == want
+
+
 def test_day_text_is_that_of_date_format(spark):
     days = spark.sql("SELECT make_timestamp(y, m, 1, 23, 59, 59) AS ts FROM VALUES (1, 1), (987, 12), (1995, 2), (9999, 12), (10000, 1), (-3, 5), (null, 1) AS v(y, m)")
     rows = days.select(fixtures._day(F.col("ts")).alias("a"), F.date_format(F.col("ts").cast("date"), "yyyyMMdd").alias("b")).collect()
