@@ -124,7 +124,7 @@ def _longest_first(src: dict[str, DataFrame]) -> list[tuple[str, DataFrame]]:
 
 
 def _stored_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {name: materialize(df, f"source-{name}") for name, df in source_views(spark, sf).items()}
+    return at_once({name: partial(materialize, df, f"source-{name}") for name, df in _longest_first(source_views(spark, sf))})
 
 
 def _bloomed(spark: SparkSession, sf: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_every_source_is_stored_at_once(spark, monkeypatch):
         raise Seen(*jobs)
 
     monkeypatch.setattr(queries, "at_once", seen)
-    for store in (queries._by_day,):
+    for store in (queries._by_day, queries._stored_sources):
         with pytest.raises(Seen) as e:
             store(spark, SF)
         assert sorted(e.value.args) == sorted(f"t{i}" for i in range(1, 12)) and set(e.value.args[:3]) == {"t1", "t7", "t8"}
